@@ -157,12 +157,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def classes(marked: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataFrame:
-    """(fp, component_id, first_row) for each distinct fingerprint of ``marked`` (doc_id, fp)."""
+    """(fp, component_id, root) for each distinct fingerprint of ``marked`` (doc_id, fp)."""
     nodes = common.persist(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
     roots = common.persist(components(links(nodes.select("fp"), distance, crowd)), "roots")
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, crowd: int = CROWD) -> DataFrame:
@@ -175,3 +175,15 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, crowd: i
 
 def op5(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
+
+
+def keep_one(docs: DataFrame, distance: int = 3, words: int = 3, crowd: int = CROWD) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id, and of equal ids the first as written."""
+    fp, rid = common.fresh(docs, "fp", "rid")
+    marked = with_fingerprint(docs, fp, words).withColumn(rid, F.monotonically_increasing_id())
+    marked = common.persist(marked, "marked")  # the row numbers are now fixed
+    slim = marked.select(F.col(fp).alias("fp"), "doc_id", F.col(rid).alias("rid"))
+    named = slim.join(classes(slim, distance, crowd).select("fp", "root"), "fp")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"))
+    losers = named.join(first, "root").where("rid <> first.rid").select(F.col("rid").alias(rid))
+    return marked.join(losers, rid, "left_anti").select(*docs.columns)
