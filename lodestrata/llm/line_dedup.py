@@ -29,8 +29,9 @@ MIN_WORDS = 8
 BROADCAST_ROWS = 500_000
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[ \t\x0b\f\r]+"), lambda x: x != "")
+def _plain(line: Column) -> Column:
+    """The lower-cased words with one blank between them."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\x0b\f\r]{2,}|[\t\x0b\f\r]", " "))
 
 
 def _xor(hashes: Column) -> Column:
@@ -42,15 +43,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _half_keys(words: Column, n: Column) -> Column:
+def _half_keys(line: Column, n: Column) -> Column:
     """Hashes of the first and last floor(n/2) and ceil(n/2) words; the lowest bit tells the side."""
     few, many = (n / 2).cast("int"), ((n + 1) / 2).cast("int")
 
     def key(size: Column, last: int) -> Column:
-        part = F.slice(words, n - size + 1, size) if last else F.slice(words, F.lit(1), size)
+        part = F.call_function("substring_index", line, F.lit(" "), -size if last else size)
         return F.shiftleft(F.xxhash64(size, part), 1).bitwiseOR(F.lit(last).cast("bigint"))
 
-    return F.array_distinct(F.array(key(few, 0), key(many, 0), key(few, 1), key(many, 1)))
+    return F.when(few == many, F.array(key(few, 0), key(few, 1))).otherwise(F.array(key(few, 0), key(many, 0), key(few, 1), key(many, 1)))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -67,8 +68,8 @@ def one_edit(a: Column, b: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     text = common.text_of()
     rows = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
-    rows = rows.select("doc_id", "th", "n", _words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    return rows.withColumns({"h1": F.xxhash64("w"), "h2": F.xxhash64(F.lit(7), "w"), "size": F.size("w")})
+    rows = rows.select("doc_id", "th", "n", _plain(F.col("line")).alias("line")).where("line <> ''")
+    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
 def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
@@ -80,11 +81,11 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     hits = common.persist(distinct.join(hits, "h1").select("h1", "h2", "pos", "front", "back"), "candidates")
     # the words of each candidate, from the place where it stands first
     place = hits.select("h1", "front", "back", F.col("pos.doc_id").alias("d"), F.col("pos.th").alias("th"), F.col("pos.n").alias("n"))
-    texts = _lines(docs).withColumnRenamed("doc_id", "d").select("d", "th", "n", "h1", "w", "size")
+    texts = _lines(docs).withColumnRenamed("doc_id", "d").select("d", "th", "n", "h1", "line")
     both = texts.join(_small(place), (texts.h1 == place.h1) & texts.d.eqNullSafe(place.d) & (texts.th == place.th) & (texts.n == place.n))
     pos = F.struct(texts.d.alias("doc_id"), texts.th.alias("th"), texts.n.alias("n"))
     # copies of a whole row stand at the same place: one of them is enough
-    lines = both.select(texts.h1, pos.alias("pos"), "w", "size", "front", "back").dropDuplicates(["h1", "pos"])
+    lines = both.select(texts.h1, pos.alias("pos"), F.split("line", " ").alias("w"), "front", "back").withColumn("size", F.size("w")).dropDuplicates(["h1", "pos"])
     lines = common.persist(lines, "candidate-lines")
     placed, loose = F.transform("w", lambda x, i: F.xxhash64(x, i)), F.transform("w", lambda x: F.xxhash64(x))
     hashed = lines.select("h1", "size", "front", "back", placed.alias("g"), loose.alias("l"))
@@ -113,7 +114,8 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the remaining lines as ``text``, and n_lines, n_dropped and emptied (columns so named go)."""
     docs = docs.drop("n_lines", "n_dropped", "emptied")
-    rows = _lines(docs).withColumn("keys", F.when(F.col("size") >= min_words, _half_keys(F.col("w"), F.col("size"))))
+    size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    rows = _lines(docs).withColumn("size", size).withColumn("keys", F.when(F.col("size") >= min_words, _half_keys(F.col("line"), F.col("size"))))
     pos = F.min(F.struct("doc_id", "th", "n")).alias("pos")
     distinct = rows.groupBy("h1", "h2").agg(pos, F.first("size").alias("size"), F.first("keys").alias("keys"))
     distinct = common.persist(distinct, "lines")
