@@ -67,8 +67,14 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     text = common.text_of()
-    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
-    rows = rows.select("doc_id", "th", "n", _plain(F.col("line")).alias("line")).where("line <> ''")
+    # most texts hold only single blanks: their lines need no search for others
+    odd = F.contains(text, F.lit("  "))
+    for blank in "\t\x0b\f\r":
+        odd = odd | F.contains(text, F.lit(blank))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), odd.alias("odd"), F.lower(text).alias("text"))
+    rows = rows.select("doc_id", "th", "odd", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    line = F.when(F.col("odd"), _plain(F.col("line"))).otherwise(F.trim("line"))
+    rows = rows.select("doc_id", "th", "n", line.alias("line")).where("line <> ''")
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
@@ -80,12 +86,17 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     hits = keys.join(_small(shared), "k").groupBy("h1").agg(F.bit_or(F.lit(1).cast("bigint").bitwiseAND(F.col("k") + 1)).alias("front"), F.bit_or(F.col("k").bitwiseAND(F.lit(1).cast("bigint"))).alias("back"))
     hits = common.persist(distinct.join(hits, "h1").select("h1", "h2", "pos", "front", "back"), "candidates")
     # the words of each candidate, from the place where it stands first
-    place = hits.select("h1", "front", "back", F.col("pos.doc_id").alias("d"), F.col("pos.th").alias("th"), F.col("pos.n").alias("n"))
-    texts = _lines(docs).withColumnRenamed("doc_id", "d").select("d", "th", "n", "h1", "line")
-    both = texts.join(_small(place), (texts.h1 == place.h1) & texts.d.eqNullSafe(place.d) & (texts.th == place.th) & (texts.n == place.n))
-    pos = F.struct(texts.d.alias("doc_id"), texts.th.alias("th"), texts.n.alias("n"))
+    place = hits.groupBy(F.col("pos.doc_id").alias("d"), F.col("pos.th").alias("t"))
+    place = common.persist(place.agg(F.collect_list(F.struct("pos.n", "h1", "front", "back")).alias("at")), "places")
+    text = common.text_of()
+    texts = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     # copies of a whole row stand at the same place: one of them is enough
-    lines = both.select(texts.h1, pos.alias("pos"), F.split("line", " ").alias("w"), "front", "back").withColumn("size", F.size("w")).dropDuplicates(["h1", "pos"])
+    both = texts.join(_small(place), texts.doc_id.eqNullSafe(place.d) & (texts.th == place.t))
+    # the lines are bound to a lambda's variable: no row carries all of them along for each candidate
+    wanted = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.transform("at", lambda x: F.struct(x.alias("x"), F.get(lines, x["n"]).alias("line"))))[0]
+    both = both.select("doc_id", "th", F.explode(wanted).alias("y")).select("doc_id", "th", "y.x.*", "y.line")
+    lines = both.select("h1", F.struct("doc_id", "th", "n").alias("pos"), F.split(_plain(F.col("line")), " ").alias("w"), "front", "back")
+    lines = lines.dropDuplicates(["h1", "pos"]).withColumn("size", F.size("w"))
     lines = common.persist(lines, "candidate-lines")
     placed, loose = F.transform("w", lambda x, i: F.xxhash64(x, i)), F.transform("w", lambda x: F.xxhash64(x))
     hashed = lines.select("h1", "size", "front", "back", placed.alias("g"), loose.alias("l"))
