@@ -165,7 +165,7 @@ def subset_scores(df: DataFrame, subsets: DataFrame, parts: list[str], numerator
     return total.select("subset_id", "n", F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1).alias("score"))
 
 
-def search_subsets(df: DataFrame, parts: list[str], sites: list[str], k_min: int, k_max: int, top: int = 10, max_combos: int = 40_000, greedy: bool = False, site: str = "site", by_share: bool = False) -> list[tuple]:
+def search_subsets(df: DataFrame, parts: list[str], sites: list[str], k_min: int, k_max: int, top: int = 10, max_combos: int = 40_000, greedy: bool = False, site: str = "site", by_share: bool = False, color_frac: float = 0.6) -> list[tuple]:
     """Site subsets by the variance (or share) of their leading balance: (score, sites), best first.
 
     One pass over the samples gives additive moments for each site; all subsets are scored from them.
@@ -184,7 +184,7 @@ def search_subsets(df: DataFrame, parts: list[str], sites: list[str], k_min: int
             i, j = parts.index(a), parts.index(b)
             t[i, j] = t[j, i] = max(q - s * s / n, 0) / (n - 1)
         try:
-            signs = groups_from_variation(t, parts)["signs"]
+            signs = groups_from_variation(t, parts, color_frac)["signs"]
         except ValueError:
             return None
         # the variance of a balance is a sum over the variation matrix
