@@ -27,7 +27,7 @@ from . import common
 from .textprep import slices
 from .tokens import encoder
 
-GROUP_IDS = 8 << 20
+GROUP_IDS = 4 << 20
 _PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, part int, seq bigint, offset bigint"
 
 

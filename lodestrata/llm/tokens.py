@@ -3,7 +3,8 @@
 Both BPE vocabularies break every text in front of a run of blanks and newlines, and between a letter or digit and an
 ASCII punctuation mark other than the apostrophe, so the ids of a text are the ids of the pieces between such places.
 Texts holding any other white space, or what may be a special token, are encoded in one piece.  Pieces are looked up in
-a bounded table; only new ones go to the library.
+a bounded table; only new ones go to the library: those of Latin letters alone, which no rule splits further, straight to
+its BPE model, all others through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -14,20 +15,29 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .textprep import LOWER, gather_ranges, raw, strings
 
 _LONG = 64
+_WORD = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 _BREAK = np.array([b in (10, 32) for b in range(256)])
 _MARK = np.array([33 <= b <= 126 and not chr(b).isalnum() and b != 39 for b in range(256)])
 _PLAIN = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _ODD = np.array([b in (9, 11, 12, 13, 28, 29, 30, 31, 0xE1) for b in range(256)])
 
 
+def byte_characters() -> list[str]:
+    """The character that byte-level BPE writes for each byte: itself if it shows, else the next one from 256."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 class PieceEncoder:
     """``encode(column)`` gives the ids of all rows in one array, and the offsets of each row in it."""
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,6 +47,10 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)["normalizer"] or {}
         self.lower = any(x["type"] == "Lowercase" for x in parts.get("normalizers", [parts] if parts else []))
+        # no other normalizer or post-processor may touch a word for the direct way
+        self.direct = all(x["type"] in ("NFC", "Lowercase", "Replace") for x in parts.get("normalizers", []))
+        chars = byte_characters()
+        self.written = {32: chars[32]} | {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.max_pieces = max_pieces
         self.clear()
 
@@ -45,9 +59,25 @@ class PieceEncoder:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.length, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        words = pc.match_substring_regex(pa.array(pieces, pa.string()), _WORD).to_pylist() if self.direct else [False] * len(pieces)
+        rest = [p for p, word in zip(pieces, words) if not word]
+        others = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        tokenize, blank = self.tokenizer.model.tokenize, self.written[32]
+        out = []
+        for p, word in zip(pieces, words):
+            if not word:
+                out.append(next(others).ids)
+                continue
+            if self.lower:
+                p = p.lstrip(" ").lower()
+            p = p.replace(" ", blank) if p.isascii() else p.translate(self.written)
+            out.append([t.id for t in tokenize(p)])
+        return out
+
     def _add(self, pieces: list[str]) -> np.ndarray:
         """Rows of the table for new pieces; ids past ``max_pieces`` are dropped with the next ``clear``."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids = self._ids(pieces)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(length.sum())
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, total)
