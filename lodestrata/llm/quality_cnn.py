@@ -6,8 +6,8 @@ whole document.  A chunk's features are its filters' largest responses (rectifie
 largest over its chunks, combined into one logit.  Over one-hot inputs a convolution is a sum of table rows, so filters
 are tables that are looked up; gradients reach only the places that won a pooling.
 
-Training takes at most ``train_rows`` labelled rows of at most ``train_bytes`` bytes each, a documented bound: those
-with the smallest hash of their id, so every run learns the same.  Scoring reads every byte of every text.
+Training takes about ``TRAIN_ROWS`` labelled rows (never over twice as many) of at most ``TRAIN_BYTES`` bytes each, a
+documented bound: those with the smallest hash of their id, so every run learns the same.  Scoring reads every byte of every text.
 
 Defined results: null and empty texts score like a text of one blank (the network's answer to no content); repeated rows
 each get their row; without labelled rows of both kinds the score is the share of good labels (0.5 without any).
@@ -136,17 +136,19 @@ class Network:
                 self.offset -= np.float32(rate * error.sum() * 10)
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int) -> DataFrame:
-    """The learning rows: labelled, not held out, of bounded size, with the smallest hashes of their ids."""
-    known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    pool = docs.select("doc_id", common.text_of().alias("text")).where(f"NOT coalesce({common.HELD_OUT}, false)")
-    pool = pool.where(F.octet_length("text") <= most_bytes).join(known, "doc_id")
-    return pool.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Network:
-    learned = sample(docs, labels, rows, most_bytes).select("text", "quality").collect()
+    """Learn from a sample of the labelled rows that are not held out.  The sample is drawn from the labels' ids, so its
+    size bounds what is broadcast, and no text is shuffled."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(f"NOT {common.HELD_OUT}")
+    chosen = common.hash_sample(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), rows, "doc_id").collect()
     network = Network()
+    if not chosen:
+        network.train([], np.zeros(0))
+        return network
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id, int(r.quality)) for r in chosen], "doc_id bigint, quality int")
+    texts = docs.select("doc_id", common.text_of().alias("text")).where(F.octet_length("text") <= most_bytes)
+    learned = texts.join(F.broadcast(chosen), "doc_id").limit(2 * rows).collect()
+    learned.sort(key=lambda r: (r.doc_id, r.text))
     network.train([r.text.encode() for r in learned], np.array([r.quality for r in learned]))
     return network
 
