@@ -74,8 +74,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, blanks_dropped: bo
     counted = misses.mapInArrow(_counter(tokenizer), "digest binary, n_tokens bigint")
     counted.select("digest", F.lit(mine).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = stored_counts(spark, cache).where(F.col("tokenizer") == mine)
-    # two writers may have stored the same content: any of the equal counts will do
-    counts = counts.groupBy(F.col("digest").alias(key)).agg(F.min("n_tokens").alias("n_tokens"))
+    # two writers may have stored the same content: any of the equal counts will do.  Written, so that both sides of the
+    # join are plain exchanges, whose hot partitions can be split
+    counts = common.persist(counts.groupBy(F.col("digest").alias(key)).agg(F.min("n_tokens").alias("n_tokens")), "counts")
     rows = docs.withColumns({key: digest(normalised(text, blanks_dropped)), "n_bytes": F.octet_length(text).cast("bigint")})
     return rows.join(counts, key).drop(key)
 
