@@ -5,8 +5,8 @@ Words are scored under each of these by byte n-grams (1 to 4, with the word's bo
 Viterbi with a penalty for switching labels each word, so that texts in several languages fall into spans.  A text's
 language is the one with most letters in its spans; the score is its share of them.
 
-At most ``train_rows`` labelled rows of at most ``train_bytes`` bytes are learned from (a documented bound): those with
-the smallest hash of their id.  Every word of every text is scored.
+About ``TRAIN_ROWS`` labelled rows (never over twice as many) of at most ``TRAIN_BYTES`` bytes are learned from (a
+documented bound): those with the smallest hash of their id and text.  Every word of every text is scored.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; repeated rows each get their row;
 without labelled texts every text is ``und``.
@@ -206,9 +206,9 @@ def _labeller(shared, text: str, switch: float, spans: bool):
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
     """Learn from texts with a language that are not held out."""
     pool = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(f"NOT coalesce({common.HELD_OUT}, false)")
-    pool = pool.where(F.octet_length("text") <= most_bytes).select("text", "lang", "doc_id")
-    learned = pool.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).select("text", "lang").collect()
-    return Model([(r.text, r.lang) for r in learned])
+    pool = pool.where(F.octet_length("text") <= most_bytes).select("doc_id", "text", "lang")
+    learned = common.hash_sample(pool, rows, "doc_id", "text").collect()
+    return Model(sorted((r.text, r.lang) for r in learned))
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = True) -> DataFrame:
