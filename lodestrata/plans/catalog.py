@@ -404,8 +404,13 @@ def gmm_split(spark, sf):
 
 # --- spectral indices ---------------------------------------------------------------------------------------------------
 
-_BANDS = {b: F.col(b) for b in ("blue", "green", "red", "rededge", "nir", "swir1", "swir2")}
-_POSITIVE = {b: (c + 1) / 2 for b, c in _BANDS.items()}
+_BANDS = ["blue", "green", "red", "rededge", "nir", "swir1", "swir2"]
+
+
+def _bands(positive: bool = False) -> dict[str, Column]:
+    return {b: (F.col(b) + 1) / 2 if positive else F.col(b) for b in _BANDS}
+
+
 _PX = "px AS (SELECT r, c, " + ", ".join(f"({b} + 1) / 2 AS {b}" for b in _BANDS) + " FROM pixels)"
 _PLAIN = {
     "NDVI": "(nir - red) / (nir + red + 1e-8)", "SAVI": "1.5 * (nir - red) / (nir + red + 0.5)", "BSI": "((swir1 + red) - (nir + blue)) / ((swir1 + red) + (nir + blue) + 1e-8)",
@@ -415,7 +420,7 @@ _PLAIN = {
 
 @query(f"{_PX} SELECT r, c, {', '.join(s6(e, n) for n, e in _PLAIN.items())} FROM px")
 def spectral_indices_plain(spark, sf):
-    return fixtures.pixels(spark, sf).select("r", "c", *r6(**indices.plain_indices(_POSITIVE)))
+    return fixtures.pixels(spark, sf).select("r", "c", *r6(**indices.plain_indices(_bands(True))))
 
 
 _GUARDED = {
@@ -428,13 +433,13 @@ _GUARDED = {
 
 @query(f"SELECT r, c, {', '.join(s6(e, n) for n, e in _GUARDED.items())} FROM pixels")
 def spectral_indices_guarded(spark, sf):
-    out = indices.guarded_indices(_BANDS)
+    out = indices.guarded_indices(_bands())
     return fixtures.pixels(spark, sf).select("r", "c", *r6(**{k: out[k] for k in _GUARDED}))
 
 
 @query(f"SELECT r, c, {s6('(2 * nir + 1 - sqrt(greatest((2 * nir + 1) * (2 * nir + 1) - 8 * (nir - red), 0))) / 2', 'MSAVI')} FROM pixels")
 def msavi(spark, sf):
-    return fixtures.pixels(spark, sf).select("r", "c", *r6(MSAVI=indices.guarded_indices(_BANDS)["MSAVI"]))
+    return fixtures.pixels(spark, sf).select("r", "c", *r6(MSAVI=indices.guarded_indices(_bands())["MSAVI"]))
 
 
 # --- rasters ------------------------------------------------------------------------------------------------------------
@@ -551,7 +556,7 @@ def sieve(spark, sf):
 
 @query()
 def feature_stack(spark, sf):
-    return raster.feature_stack(fixtures.pixels(spark, sf).select("r", "c", *_BANDS, "emb"), _BANDS, "emb", 4)
+    return raster.feature_stack(fixtures.pixels(spark, sf).select("r", "c", *_BANDS, "emb"), _bands(), "emb", 4)
 
 
 @query()
