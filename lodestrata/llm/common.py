@@ -7,10 +7,10 @@ lost executor costs the tasks that were running on it and nothing else.
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,19 +45,50 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCOPES: dict[str, list[str]] = {}
+_OPEN: list[str] = []
+
+
+@contextmanager
+def scope(name: str):
+    """Tables that operators write in here can be released together."""
+    _OPEN.append(name)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the tables of a scope: only once what was made from them is written itself."""
+    for path in _SCOPES.pop(name, []):
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def new_table(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _SCOPES.setdefault(_OPEN[-1], []).append(path)
+    return path
 
 
 def persist(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends at files that survive any executor."""
     path = new_table(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def remove(path: str) -> None:
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``persist`` wrote and nothing reads any more."""
+    remove(df.sparkSession, df.written_at)
 
 
 def text_of(column: str = "text"):

@@ -78,16 +78,21 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
-def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
-    """(h1, h2) of distinct lines that have an earlier line one edit away."""
+def _near(docs: DataFrame, distinct: DataFrame, min_words: int, made: list[DataFrame]) -> DataFrame:
+    """The places of distinct lines that have an earlier line one edit away.  ``made`` gets the tables written for it."""
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        made.append(common.persist(df, name))
+        return made[-1]
+
     keys = distinct.where(F.col("size") >= min_words).select("h1", F.explode("keys").alias("k"))
     shared = keys.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
-    shared = common.persist(shared, "half-keys")
+    shared = written(shared, "half-keys")
     hits = keys.join(_small(shared), "k").groupBy("h1").agg(F.bit_or(F.lit(1).cast("bigint").bitwiseAND(F.col("k") + 1)).alias("front"), F.bit_or(F.col("k").bitwiseAND(F.lit(1).cast("bigint"))).alias("back"))
-    hits = common.persist(distinct.join(hits, "h1").select("h1", "h2", "pos", "front", "back"), "candidates")
+    hits = written(distinct.join(hits, "h1").select("h1", "h2", "pos", "front", "back"), "candidates")
     # the words of each candidate, from the place where it stands first
     place = hits.groupBy(F.col("pos.doc_id").alias("d"), F.col("pos.th").alias("t"))
-    place = common.persist(place.agg(F.collect_list(F.struct("pos.n", "h1", "front", "back")).alias("at")), "places")
+    place = written(place.agg(F.collect_list(F.struct("pos.n", "h1", "front", "back")).alias("at")), "places")
     text = common.text_of()
     texts = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     # copies of a whole row stand at the same place: one of them is enough
@@ -97,7 +102,7 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     both = both.select("doc_id", "th", F.explode(wanted).alias("y")).select("doc_id", "th", "y.x.*", "y.line")
     lines = both.select("h1", F.struct("doc_id", "th", "n").alias("pos"), F.split(_plain(F.col("line")), " ").alias("w"), "front", "back")
     lines = lines.dropDuplicates(["h1", "pos"]).withColumn("size", F.size("w"))
-    lines = common.persist(lines, "candidate-lines")
+    lines = written(lines, "candidate-lines")
     placed, loose = F.transform("w", lambda x, i: F.xxhash64(x, i)), F.transform("w", lambda x: F.xxhash64(x))
     hashed = lines.select("h1", "size", "front", "back", placed.alias("g"), loose.alias("l"))
     hashed = hashed.withColumns({"gx": _xor(F.col("g")), "lx": _xor(F.col("l"))})
@@ -107,13 +112,13 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     # replaced words: (size, place, the other words)
     replaced = spread.select("h1", F.xxhash64("size", "i", F.col("gx").bitwiseXOR(F.col("g")[F.col("i")])).alias("k"))
     groups = replaced.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
-    groups = common.persist(groups, "replaced-keys")
+    groups = written(groups, "replaced-keys")
     members = replaced.join(_small(groups), "k").join(lines.select("h1", "pos"), "h1")
     firsts = members.groupBy("k").agg(F.min(F.struct("pos", "h1")).alias("first"))
     pairs = members.join(firsts, "k").select("h1", F.col("first.h1").alias("other")).where("h1 <> other")
     # inserted words: the longer line's variants meet the full key of the shorter
     variants = spread.select(F.col("h1").alias("long"), F.xxhash64(F.col("size") - 1, F.col("lx").bitwiseXOR(F.col("l")[F.col("i")])).alias("k"))
-    full = common.persist(hashed.select(F.col("h1").alias("short"), F.xxhash64("size", "lx").alias("k")), "full-keys")
+    full = written(hashed.select(F.col("h1").alias("short"), F.xxhash64("size", "lx").alias("k")), "full-keys")
     met = variants.join(_small(full), "k")
     pairs = pairs.unionByName(met.select(F.col("long").alias("h1"), F.col("short").alias("other"))).distinct()
     mine, other = (lines.select(F.col("h1").alias(a), F.col("pos").alias(f"{a}_pos"), F.col("w").alias(f"{a}_w")) for a in ("h1", "other"))
@@ -130,7 +135,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pos = F.min(F.struct("doc_id", "th", "n")).alias("pos")
     distinct = rows.groupBy("h1", "h2").agg(pos, F.first("size").alias("size"), F.first("keys").alias("keys"))
     distinct = common.persist(distinct, "lines")
-    gone = common.persist(_near(docs, distinct, min_words), "near-lines")
+    made: list[DataFrame] = []
+    gone = common.persist(_near(docs, distinct, min_words, made), "near-lines")
+    for table in made:
+        common.drop(table)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     kept = distinct.select("pos.doc_id", "pos.th", "pos.n")
     gone = gone.select(F.col("pos.doc_id").alias("d"), F.col("pos.th").alias("t"), F.col("pos.n").alias("m"))

@@ -33,6 +33,8 @@ from . import common
 from .textprep import slices
 
 CROWD = 512
+#: Row numbers that are broadcast to drop their rows; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -148,7 +150,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.persist(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges, old = common.persist(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges"), edges
+        common.drop(old)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -186,4 +189,6 @@ def keep_one(docs: DataFrame, distance: int = 3, words: int = 3, crowd: int = CR
     named = slim.join(classes(slim, distance, crowd).select("fp", "root"), "fp")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"))
     losers = named.join(first, "root").where("rid <> first.rid").select(F.col("rid").alias(rid))
-    return marked.join(losers, rid, "left_anti").select(*docs.columns)
+    losers = common.persist(losers, "losers")
+    small = losers.count() <= BROADCAST_ROWS
+    return marked.join(F.broadcast(losers) if small else losers, rid, "left_anti").select(*docs.columns)
