@@ -91,9 +91,15 @@ def _half(side: int) -> Column:
 
 
 def _halves(nodes: DataFrame) -> DataFrame:
-    """(side, half, other, fp): two rows for each fingerprint."""
-    both = F.array(*[F.struct(F.lit(s).alias("side"), _half(s).alias("half"), _half(1 - s).alias("other")) for s in (0, 1)])
-    return nodes.select("fp", F.explode(both).alias("h")).select("h.*", "fp")
+    """(key, fp): two rows for each fingerprint; a key is a half with its side above it."""
+    return nodes.select(F.explode(F.array(*[_half(s).bitwiseOR(F.lit(s << 32)) for s in (0, 1)])).alias("key"), "fp")
+
+
+def _of(key: Column, fp: Column) -> tuple[Column, Column]:
+    """The half of a fingerprint on the key's side (as a key), and its other half."""
+    high, low = F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF))
+    upper = key.bitwiseAND(F.lit(1 << 32)) != 0
+    return F.when(upper, high.bitwiseOR(F.lit(1 << 32))).otherwise(low), F.when(upper, low).otherwise(high)
 
 
 def _ball(value: Column, radius: int) -> Column:
@@ -112,27 +118,26 @@ def links(nodes: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) within ``distance`` (0 to 3) bits: all of them outside
     crowded halves, enough of them for the same components inside."""
     halves = _halves(nodes)
-    crowded = halves.groupBy("side", "half").count().where(F.col("count") > crowd).select("side", "half")
-    probes = halves.select("side", "fp", F.lit(True).alias("own"), F.col("half").alias("half"), "other").unionByName(
-        halves.select("side", "fp", F.lit(False).alias("own"), F.explode(_raised(F.col("half"))).alias("half"), "other")
-    )
+    crowded = halves.groupBy("key").count().where(F.col("count") > crowd).select("key")
+    probes = halves.unionByName(halves.select(F.explode(_raised(F.col("key"))).alias("key"), "fp"))
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    calm = halves.join(crowded, ["side", "half"], "left_anti").select("side", "half", F.col("fp").alias("b"))
-    pairs = probes.withColumnRenamed("fp", "a").join(calm, ["side", "half"])
-    edges = pairs.where((far <= distance) & (~F.col("own") | (F.col("a") < F.col("b")))).select("a", "b")
+    own = F.col("key") == _of(F.col("key"), F.col("a"))[0]
+    calm = halves.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("b"))
+    pairs = probes.withColumnRenamed("fp", "a").join(calm, "key")
+    edges = pairs.where((far <= distance) & (~own | (F.col("a") < F.col("b")))).select("a", "b")
     # crowded halves: meet around the other half
-    there = probes.join(crowded, ["side", "half"], "left_semi")
-    same = there.where("own").select("side", "half", "fp", F.explode(F.concat(
-        F.transform(_ball(F.col("other"), 1), lambda m: F.struct(m.alias("m"), F.lit(True).alias("centre"), F.lit(0).alias("kind"))),
-        F.transform(_ball(F.col("other"), 2), lambda m: F.struct(m.alias("m"), F.lit(False).alias("centre"), F.lit(0).alias("kind"))),
-        F.transform(_ball(F.col("other"), 1), lambda m: F.struct(m.alias("m"), F.lit(True).alias("centre"), F.lit(1).alias("kind"))),
-    )).alias("x"))
-    lower = there.where("NOT own").select("side", "half", "fp", F.explode(
-        F.transform(_ball(F.col("other"), 1), lambda m: F.struct(m.alias("m"), F.lit(False).alias("centre"), F.lit(1).alias("kind")))
-    ).alias("x"))
-    met = same.unionByName(lower).select("side", "half", "x.m", "x.kind", "x.centre", "fp")
-    centres = met.where("centre").groupBy("side", "half", "m", "kind").agg(F.min("fp").alias("a"))
-    stars = met.withColumnRenamed("fp", "b").join(centres, ["side", "half", "m", "kind"])
+    there = probes.join(crowded, "key", "left_semi")
+    mine, other = _of(F.col("key"), F.col("fp"))
+    there = there.select("key", "fp", (F.col("key") == mine).alias("own"), other.alias("other"))
+
+    def around(radius: int, centre: bool, kind: int) -> Column:
+        return F.transform(_ball(F.col("other"), radius), lambda m: F.struct(m.alias("m"), F.lit(centre).alias("centre"), F.lit(kind).alias("kind")))
+
+    same = there.where("own").select("key", "fp", F.explode(F.concat(around(1, True, 0), around(2, False, 0), around(1, True, 1))).alias("x"))
+    lower = there.where("NOT own").select("key", "fp", F.explode(around(1, False, 1)).alias("x"))
+    met = same.unionByName(lower).select("key", "x.m", "x.kind", "x.centre", "fp")
+    centres = met.where("centre").groupBy("key", "m", "kind").agg(F.min("fp").alias("a"))
+    stars = met.withColumnRenamed("fp", "b").join(centres, ["key", "m", "kind"])
     stars = stars.where((F.col("a") != F.col("b")) & (far <= distance)).select("a", "b").distinct()
     return edges.unionByName(stars)
 
