@@ -84,9 +84,12 @@ def _shifted(pixels: DataFrame, bands: list[str], size: int) -> DataFrame:
 def window_median_clipped(points: DataFrame, pixels: DataFrame, bands: list[str], size: int, key="serial") -> DataFrame:
     """At each point (with r, c), the median of the pixels around that exist; an even size acts as the next odd one."""
     moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in _offsets(size) for j in _offsets(size)])
-    around = points.select(key, F.explode(moves).alias("m"), "r", "c").select(key, (F.col("r") + F.col("m.i")).alias("r"), (F.col("c") + F.col("m.j")).alias("c"))
+    # a window belongs to its pixel: points of one pixel share it
+    spots = points.select("r", "c").distinct().select(F.col("r").alias("pr"), F.col("c").alias("pc"), F.explode(moves).alias("m"))
+    around = spots.select("pr", "pc", (F.col("pr") + F.col("m.i")).alias("r"), (F.col("pc") + F.col("m.j")).alias("c"))
     good = [F.when(~F.isnan(b), F.col(b)).alias(b) for b in bands]
-    return around.join(pixels.select("r", "c", *good), ["r", "c"]).groupBy(key).agg(*[F.median(b).alias(b) for b in bands])
+    medians = around.join(pixels.select("r", "c", *good), ["r", "c"]).groupBy("pr", "pc").agg(*[F.median(b).alias(b) for b in bands])
+    return points.select(key, "r", "c").join(medians.withColumnsRenamed({"pr": "r", "pc": "c"}), ["r", "c"]).select(key, *bands)
 
 
 def median_filter(pixels: DataFrame, bands: list[str], size: int, grid: Header) -> DataFrame:

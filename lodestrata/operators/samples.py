@@ -138,16 +138,19 @@ def remove_background(df: DataFrame, parts: list[str], buffer: float | None = 50
     corrected nor closed; rows without a site are dropped.  ``corrected`` tells the two apart.
     """
     fixed = coda.multiplicative_replacement(parts)
-    bg = df.where(is_background(kind)).select(F.col(x).alias("bx"), F.col(y).alias("by"), *[c.alias(f"b_{p}") for c, p in zip(fixed, parts)])
+    # logarithms of closed background rows are taken once, before rows meet sites
+    logs = [F.ln(c).alias(f"b_{p}") for c, p in zip(coda.closure(fixed), parts)]
+    bg = df.where(is_background(kind)).select(F.col(x).alias("bx"), F.col(y).alias("by"), *logs)
+    means = [F.exp(F.avg(f"b_{p}")).alias(f"b_{p}") for p in parts]
     sites = df.where(F.col(site).isNotNull()).where(~is_background(kind)).select(site).distinct()
     keys = df.join(sites, site, "left_semi")
     if buffer is None:
-        mid = coda.center(bg, [f"b_{p}" for p in parts])
+        mid = bg.agg(*means)
         centers = sites.crossJoin(F.broadcast(mid))
     else:
         spots = site_centroids(keys, site, x, y)
         near = within(spots, bg, buffer, ("cx", "cy"), ("bx", "by"))
-        centers = coda.center(near, [f"b_{p}" for p in parts], [site])
+        centers = near.groupBy(site).agg(*means)
     joined = keys.join(centers, site, "left")
     moved = coda.perturb_difference(fixed, [f"b_{p}" for p in parts])
     there = F.col(f"b_{parts[0]}").isNotNull()
