@@ -1,13 +1,16 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are coded four bits at a time.  For each nibble three adaptive distributions are kept, chosen by the nibbles of the
-id coded so far and by none (order 0), one (order 1) or two (order 2) previous ids; their cumulative counts are mixed
-with weights that follow how well each order predicted, and drive a carry-less range coder.  A segment holds many
-blocks, each coded from a reset model and with its own CRC-32.  Blocks are coded side by side, one NumPy lane each, in
-integer arithmetic only, so any machine reads what another wrote.
-
-Segment: ``LSID`` | version u8 | nibbles per id u8 | ids u64 | block size u32 | blocks u32 | per block: ids u32,
-16-bit words u32, CRC-32 of the ids as little-endian u32 | the blocks' words, little-endian u16.
+Each id is coded in one step from a mixture of three adaptive predictions: the id that followed the last two ids (order
+2), the id that followed the last one (order 1), and the counts of the block's ids so far (order 0, taken anew at set
+places); a fourth share stands for ids without a count, which are then coded evenly.  The shares are learnt for every
+pair of order-1 and order-2 confidences, so each order weighs as much as it has predicted well.  Where both orders
+predict the same id their shares add up.  The mixture drives a carry-less range coder.
+
+A segment holds many blocks, each coded from a reset model and with its own CRC-32.  Blocks are coded side by side, one
+NumPy lane each, in integer arithmetic only, so any machine reads what another wrote.
+
+Segment: ``LSID`` | version u8 | spare u8 | ids u64 | highest id u32 | block size u32 | blocks u32 | per block: ids u32,
+32-bit words u32, CRC-32 of the ids as little-endian u32 | the blocks' words, little-endian u32.
 """
 
 from __future__ import annotations
@@ -17,148 +20,222 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"LSID", 1
-_HEAD, _BLOCK = struct.Struct("<4sBBQII"), struct.Struct("<III")
-_BITS = 15
-_ONE = 1 << _BITS
-_ROWS = 9, 10, 10  # log2 of the rows of each order's table
-_RATE = 4, 4, 3
-_LOW = np.uint64((1 << 48) - 1)
-_HALF = np.uint64(1 << 32)
-#: Where cumulative counts move when symbol s is seen: below s to the bottom, above it to the top.
-_TARGET = np.array([[i if i <= s else _ONE - 16 + i for i in range(16)] for s in range(16)], np.int16)
-_START = np.array([i * (_ONE // 16) for i in range(16)], np.int16)
+MAGIC, VERSION = b"LSID", 2
+_HEAD, _BLOCK = struct.Struct("<4sBBQIII"), struct.Struct("<III")
+_U = np.uint64
+_BITS = 15  # shares add up to 2 ** _BITS
+_SLOTS = 12  # log2 of the contexts that each order keeps
+_RATE = 5
+_TOP, _WORD, _MASK = _U(2**64 - 1), _U(32), _U(2**32 - 1)
+_LARGEST = 1 << 16  # ids in a block: shares times counts stay under 32 bits
+_NEW, _TWO, _ONE, _COUNT = range(4)
+#: Where the three bounds between the shares move when a share was right; none falls below 1 / 512.
+_TARGET = np.array([[64 * (i + 1) if i < k else (1 << _BITS) - 64 * (3 - i) for i in range(3)] for k in range(4)], np.int32)
+_START = np.array([1 << 14, (1 << 14) + (1 << 12), (1 << 14) + (1 << 13)], np.int32)
+
+
+def _retake(t: int) -> bool:
+    """Whether the counts of order 0 are taken anew before id ``t`` of a block."""
+    return t >= 16 and (t & (t - 1) == 0 if t <= 512 else t % 512 == 0)
+
+
+class _Counts:
+    """Order 0: the ids seen so far in ascending order, with the first place and the number of each."""
+
+    def __init__(self, lanes: int):
+        self.n = 1
+        self._set(np.zeros((lanes, 1), np.uint32))
+
+    def take(self, ids: np.ndarray) -> None:
+        self.n = ids.shape[1]
+        self._set(np.sort(ids, axis=1))
+
+    def _set(self, ids: np.ndarray) -> None:
+        lanes, n = ids.shape
+        self.ids = ids.ravel()
+        new = np.ones((lanes, n), bool)
+        np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+        at = np.flatnonzero(new)
+        number = np.diff(at, append=lanes * n)
+        self.first = np.repeat((at % n).astype(np.uint32), number)
+        self.number = np.repeat(number.astype(np.uint32), number)
+        self.base = np.arange(lanes, dtype=np.int64) * n
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of ``ids`` (a row for each lane); the number is 0 for those without a count."""
+        lanes, width = ids.shape
+        row = np.arange(lanes, dtype=np.uint64) << _WORD
+        have = np.repeat(row, self.n)[: lanes * self.n] | self.ids[: lanes * self.n]
+        want = (row[:, None] | ids).ravel()
+        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+        hit = have[at] == want
+        return self.first[at].reshape(lanes, width), (self.number[at] * hit).reshape(lanes, width)
 
 
 class _Model:
-    """The tables and weights of ``lanes`` blocks."""
+    """What ``lanes`` blocks have learnt for orders 1 and 2 and for the shares."""
 
     def __init__(self, lanes: int):
-        self.tables = [np.tile(_START, (lanes << r, 1)) for r in _ROWS]
-        self.base = [(np.arange(lanes, dtype=np.int64) << r) for r in _ROWS]
-        third = _ONE // 3
-        self.weight = [np.full(lanes, w, np.int32) for w in (_ONE - 2 * third, third, third)]
-        self.row = np.arange(lanes, dtype=np.int64) * 16
-        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.lane = np.arange(lanes, dtype=np.int64)
+        self.one, self.two = (np.zeros(lanes << _SLOTS, np.uint64) for _ in range(2))  # id << 2 | confidence
+        self.bounds = np.tile(_START, (lanes * 16, 1))
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.keep(lanes)
 
     def keep(self, lanes: int) -> None:
-        self.weight = [w[:lanes] for w in self.weight]
-        self.base = [b[:lanes] for b in self.base]
-        self.row, self.one, self.two = self.row[:lanes], self.one[:lanes], self.two[:lanes]
-
-    def look(self, node: np.ndarray, level: int) -> None:
-        """Fetch the cumulative counts that each order has for the nibble."""
-        spread = node * np.uint32(0x9E3779B1)
-        zero = node if level < 2 else spread >> np.uint32(32 - _ROWS[0])
-        h1 = ((spread ^ self.one) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _ROWS[1])
-        h2 = ((spread ^ self.two) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _ROWS[2])
-        self.at = [b + h for b, h in zip(self.base, (zero, h1, h2))]
-        self.seen = [np.take(t, a, 0) for t, a in zip(self.tables, self.at)]
-
-    def mixed(self) -> np.ndarray:
-        (a, b, c), (u, v, w) = self.seen, self.weight
-        return (a * u[:, None] + b * v[:, None] + c * w[:, None]) >> _BITS
-
-    def learn(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbol's start and frequency in the mixture; afterwards all orders and weights have learnt it."""
-        at, last = self.row + symbol, symbol == 15
-        after = at + ~last
-        starts = [np.take(s, at).astype(np.int32) for s in self.seen]
-        ends = [np.where(last, _ONE, np.take(s, after).astype(np.int32)) for s in self.seen]
-        u, v, w = self.weight
-        start = (starts[0] * u + starts[1] * v + starts[2] * w) >> _BITS
-        freq = ((ends[0] * u + ends[1] * v + ends[2] * w) >> _BITS) - start
-        target = np.take(_TARGET, symbol, 0)
-        for table, row, seen, rate in zip(self.tables, self.at, self.seen, _RATE):
-            table[row] = seen + ((target - seen) >> rate)
-        g0, g1, g2 = (e - s for e, s in zip(ends, starts))
-        two, one = (g2 > g1) & (g2 > g0), (g1 > g0) & (g1 >= g2)
-        v = v + ((one * (_ONE - 1024) - v) >> 5) + 12
-        w = w + ((two * (_ONE - 1024) - w) >> 5) + 12
-        self.weight = [_ONE - v - w, v, w]
-        return start.astype(np.uint64), freq.astype(np.uint64)
-
-    def next(self, ids: np.ndarray) -> None:
-        ids = ids.astype(np.uint32) + np.uint32(1)
-        self.two = (self.one + ids) * np.uint32(0x27D4EB2F)
-        self.one = ids * np.uint32(0x165667B1)
-
-
-def _narrow(low, size, start, freq):
-    step = size >> np.uint64(_BITS)
-    return low + step * start, step * freq
-
-
-def _encode_lanes(ids: np.ndarray, counts: np.ndarray, nibbles: int) -> list[np.ndarray]:
-    """Words of each lane.  counts falls from lane to lane."""
+        self.lane, self.last, self.before = self.lane[:lanes], self.last[:lanes], self.before[:lanes]
+        self.slot, self.row = self.lane << _SLOTS, self.lane * 16
+
+    def look(self) -> None:
+        """Predictions of orders 2 and 1, and the bounds between the shares."""
+        shift = np.uint32(32 - _SLOTS)
+        self.at1 = self.slot + (self.last >> shift)
+        self.at2 = self.slot + (((self.last ^ self.before) * np.uint32(0x85EBCA6B)) >> shift)
+        one, two = self.one[self.at1], self.two[self.at2]
+        self.conf1, self.conf2 = one & _U(3), two & _U(3)
+        self.id1, self.id2 = one >> _U(2), two >> _U(2)
+        self.at = self.row + ((self.conf2 << _U(2)) | self.conf1).astype(np.int64)
+        self.seen = self.bounds[self.at]
+        bounds = self.seen.astype(np.uint64)
+        self.b1, self.b2, self.b3 = bounds[:, 0], bounds[:, 1], bounds[:, 2]
+
+    def interval(self, ids: np.ndarray, counted: np.ndarray, n: int, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of ``ids`` in the mixture of total ``n << _BITS``: in the shares of the orders that predict
+        them, else by their counts, else in the share of ids without one."""
+        n = _U(n)
+        hit1, hit2 = self.id1 == ids, self.id2 == ids
+        low = np.where(hit2, self.b1, np.where(hit1, self.b2, _U(0)))
+        high = np.where(hit1, self.b3, np.where(hit2, self.b2, self.b1))
+        plain = ~(hit1 | hit2)
+        counted = plain & counted
+        share = _U(1 << _BITS) - self.b3
+        self.right = np.where(hit2, _TWO, np.where(hit1, _ONE, np.where(counted, _COUNT, _NEW)))
+        self.hits, self.fresh = (hit1, hit2), np.flatnonzero(self.right == _NEW)
+        return np.where(counted, self.b3 * n + share * first, low * n), np.where(counted, share * number, (high - low) * n)
+
+    def learn(self, ids: np.ndarray) -> None:
+        self.bounds[self.at] = self.seen + ((np.take(_TARGET, self.right, 0) - self.seen) >> _RATE)
+        row = ids << _U(2)
+        for table, at, conf, hit in zip((self.one, self.two), (self.at1, self.at2), (self.conf1, self.conf2), self.hits):
+            table[at] = row | np.minimum(conf + _U(1), _U(3)) * hit
+        self.before = self.last * np.uint32(0x27D4EB2F)
+        self.last = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+
+
+def _settle(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose size fell under 2 ** 32 (their first word is settled), and that size, cut where the word is not."""
+    todo = np.flatnonzero(size <= _MASK)
+    a, s = low[todo], size[todo]
+    s = np.where((a ^ (a + s - _U(1))) >> _WORD == 0, s, _U(2**32) - (a & _MASK))
+    return todo, s
+
+
+class _Writer:
+    def __init__(self, lanes: int, most: int):
+        self.words, self.n = np.zeros((lanes, 2 * most + 2), np.uint32), np.zeros(lanes, np.int64)
+        self.low, self.size = np.zeros(lanes, np.uint64), np.full(lanes, _TOP)
+
+    def put(self, lanes, start, width, total: int) -> None:
+        low, size = self.low[lanes], self.size[lanes]
+        step = size // _U(total)
+        low, size = low + step * start, step * width
+        todo, s = _settle(low, size)
+        if len(todo):
+            which = todo if isinstance(lanes, slice) else lanes[todo]
+            self.words[which, self.n[which]] = low[todo] >> _WORD
+            self.n[which] += 1
+            low[todo], size[todo] = low[todo] << _WORD, s << _WORD
+        self.low[lanes], self.size[lanes] = low, size
+
+    def end(self) -> list[np.ndarray]:
+        for word in (self.low >> _WORD, self.low & _MASK):
+            self.words[np.arange(len(self.n)), self.n] = word
+            self.n += 1
+        return [w[:n] for w, n in zip(self.words, self.n.tolist())]
+
+
+class _Reader:
+    def __init__(self, words: np.ndarray):
+        self.words, self.most = words, words.shape[1] - 1
+        lanes = len(words)
+        self.code = (words[:, 0].astype(np.uint64) << _WORD) | words[:, 1]
+        self.n = np.full(lanes, 2, np.int64)
+        self.low, self.size = np.zeros(lanes, np.uint64), np.full(lanes, _TOP)
+
+    def peek(self, lanes, total: int) -> np.ndarray:
+        self.step = self.size[lanes] // _U(total)
+        return np.minimum((self.code[lanes] - self.low[lanes]) // self.step, _U(total - 1))
+
+    def take(self, lanes, start, width) -> None:
+        low, size = self.low[lanes] + self.step * start, self.step * width
+        todo, s = _settle(low, size)
+        if len(todo):
+            which = todo if isinstance(lanes, slice) else lanes[todo]
+            n = self.n[which]
+            self.code[which] = (self.code[which] << _WORD) | self.words[which, np.minimum(n, self.most)]
+            self.n[which] = n + 1
+            low[todo], size[todo] = low[todo] << _WORD, s << _WORD
+        self.low[lanes], self.size[lanes] = low, size
+
+
+def _falling(counts: np.ndarray) -> np.ndarray:
+    """How many lanes have more than t ids, for each t; counts falls from lane to lane."""
+    return np.searchsorted(-counts, -np.arange(int(counts.max(initial=0))), "left")
+
+
+def _encode_lanes(ids: np.ndarray, counts: np.ndarray, highest: int) -> list[np.ndarray]:
+    """Words of each lane."""
     lanes, most = ids.shape
-    words = np.zeros((lanes, most * nibbles + 8), np.uint16)
-    n = np.zeros(lanes, np.int64)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, _LOW, np.uint64)
-    model, live = _Model(lanes), lanes
-    ends = np.searchsorted(-counts, -np.arange(most), "left")  # lanes with more than t ids
-    for t in range(most):
-        if ends[t] < live:
-            live = int(ends[t])
-            model.keep(live)
-        token = ids[:live, t]
-        node = np.ones(live, np.uint32)
-        for level in range(nibbles):
-            symbol = ((token >> (4 * (nibbles - 1 - level))) & 15).astype(np.int64)
-            model.look(node if level else np.zeros(live, np.uint32), level)
-            lo, sz = _narrow(low[:live], size[:live], *model.learn(symbol))
-            todo = np.flatnonzero(sz < _HALF)
-            while len(todo):
-                a, s = lo[todo], sz[todo]
-                s = np.where((a >> np.uint64(32)) == ((a + s - np.uint64(1)) >> np.uint64(32)), s, _HALF - (a & (_HALF - np.uint64(1))))
-                words[todo, n[todo]] = ((a >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
-                n[todo] += 1
-                lo[todo], sz[todo] = (a << np.uint64(16)) & _LOW, s << np.uint64(16)
-                todo = todo[sz[todo] < _HALF]
-            low[:live], size[:live] = lo, sz
-            node = (node << np.uint32(4)) | symbol.astype(np.uint32) if level else symbol.astype(np.uint32) + np.uint32(1)
-        model.next(token)
-    for k in (32, 16, 0):
-        words[np.arange(lanes), n] = ((low >> np.uint64(k)) & np.uint64(0xFFFF)).astype(np.uint16)
-        n += 1
-    return [words[i, : n[i]] for i in range(lanes)]
-
-
-def _decode_lanes(words: np.ndarray, counts: np.ndarray, nibbles: int) -> np.ndarray:
+    out, model, order0, live = _Writer(lanes, most), _Model(lanes), _Counts(lanes), lanes
+    ends = _falling(counts)
+    places = [0, *(t for t in range(1, most) if _retake(t)), most]
+    for begin, end in zip(places, places[1:]):
+        if begin:
+            order0.take(ids[: ends[begin], :begin])
+        part = np.ascontiguousarray(ids[: ends[begin], begin:end])
+        first, number = (np.ascontiguousarray(x.T).astype(np.uint64) for x in order0.find(part))
+        columns = np.ascontiguousarray(part.T).astype(np.uint64)
+        for t in range(begin, end):
+            if ends[t] < live:
+                live = int(ends[t])
+                model.keep(live)
+            i, own = t - begin, slice(0, live)
+            x, f, k = columns[i, :live], first[i, :live], number[i, :live]
+            model.look()
+            out.put(own, *model.interval(x, k > 0, order0.n, f, k), order0.n << _BITS)
+            if len(model.fresh):
+                out.put(model.fresh, x[model.fresh], _U(1), highest + 1)
+            model.learn(x)
+    return out.end()
+
+
+def _decode_lanes(words: np.ndarray, counts: np.ndarray, highest: int) -> np.ndarray:
     lanes, most = len(counts), int(counts.max(initial=0))
-    out = np.zeros((lanes, most), np.uint32)
-    take = words.astype(np.uint64)
-    code = (take[:, 0] << np.uint64(32)) | (take[:, 1] << np.uint64(16)) | take[:, 2]
-    n = np.full(lanes, 3, np.int64)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, _LOW, np.uint64)
-    model, live = _Model(lanes), lanes
-    ends = np.searchsorted(-counts, -np.arange(most), "left")
+    ids = np.zeros((lanes, most), np.uint32)
+    read, model, order0, live = _Reader(words), _Model(lanes), _Counts(lanes), lanes
+    ends = _falling(counts)
     for t in range(most):
         if ends[t] < live:
             live = int(ends[t])
             model.keep(live)
-        node = token = np.zeros(live, np.uint32)
-        for level in range(nibbles):
-            model.look(node, level)
-            mixed = model.mixed()
-            step = size[:live] >> np.uint64(_BITS)
-            value = np.minimum((code[:live] - low[:live]) // step, np.uint64(_ONE - 1)).astype(np.int32)
-            symbol = (mixed <= value[:, None]).sum(1) - 1
-            lo, sz = _narrow(low[:live], size[:live], *model.learn(symbol))
-            todo = np.flatnonzero(sz < _HALF)
-            while len(todo):
-                a, s = lo[todo], sz[todo]
-                s = np.where((a >> np.uint64(32)) == ((a + s - np.uint64(1)) >> np.uint64(32)), s, _HALF - (a & (_HALF - np.uint64(1))))
-                code[todo] = ((code[todo] << np.uint64(16)) & _LOW) | take[todo, n[todo]]
-                n[todo] += 1
-                lo[todo], sz[todo] = (a << np.uint64(16)) & _LOW, s << np.uint64(16)
-                todo = todo[sz[todo] < _HALF]
-            low[:live], size[:live] = lo, sz
-            token = (token << np.uint32(4)) | symbol.astype(np.uint32)
-            node = (node << np.uint32(4)) | symbol.astype(np.uint32) if level else symbol.astype(np.uint32) + np.uint32(1)
-        out[:live, t] = token
-        model.next(token)
-    return out
+        if t and _retake(t):
+            order0.take(ids[:live, :t])
+        own, n = slice(0, live), _U(order0.n)
+        model.look()
+        value = read.peek(own, order0.n << _BITS)
+        share = value // n
+        counted = share >= model.b3
+        place = np.where(counted, (value - model.b3 * n) // (_U(1 << _BITS) - model.b3), _U(0))
+        place = order0.base[:live] + place.astype(np.int64)
+        x = np.where(counted, order0.ids[place], np.where(share >= model.b2, model.id1, model.id2))
+        x[share < model.b1] = _TOP
+        read.take(own, *model.interval(x, counted, order0.n, order0.first[place], order0.number[place]))
+        if len(model.fresh):
+            x[model.fresh] = value = read.peek(model.fresh, highest + 1)
+            read.take(model.fresh, value, _U(1))
+        model.learn(x)
+        ids[:live, t] = x
+    return ids
 
 
 def block_size(n: int, most: int = 4096) -> int:
@@ -170,7 +247,9 @@ def encode(ids: np.ndarray, block: int | None = None, lanes: int = 1024) -> byte
     """One segment with all ``ids`` (unsigned, below 2**32)."""
     ids = np.ascontiguousarray(ids, "<u4")
     n, block = len(ids), block or block_size(len(ids))
-    nibbles = max(1, -(-int(ids.max(initial=0)).bit_length() // 4))
+    if block > _LARGEST:
+        raise ValueError(f"a block holds at most {_LARGEST} ids")
+    highest = int(ids.max(initial=0))
     blocks = -(-n // block)
     counts = np.full(blocks, block, np.int64)
     if n:
@@ -178,28 +257,28 @@ def encode(ids: np.ndarray, block: int | None = None, lanes: int = 1024) -> byte
     grid = np.zeros(blocks * block, np.uint32)
     grid[:n] = ids
     grid = grid.reshape(blocks, block)
-    coded = [w for lo in range(0, blocks, lanes) for w in _encode_lanes(grid[lo : lo + lanes, : counts[lo]], counts[lo : lo + lanes], nibbles)]
+    coded = [w for lo in range(0, blocks, lanes) for w in _encode_lanes(grid[lo : lo + lanes, : counts[lo]], counts[lo : lo + lanes], highest)]
     sums = [zlib.crc32(ids[i * block : i * block + counts[i]].tobytes()) for i in range(blocks)]
-    head = _HEAD.pack(MAGIC, VERSION, nibbles, n, block, blocks)
-    return b"".join([head, *(_BLOCK.pack(int(c), len(w), s) for c, w, s in zip(counts, coded, sums)), *(w.astype("<u2").tobytes() for w in coded)])
+    head = _HEAD.pack(MAGIC, VERSION, 0, n, highest, block, blocks)
+    return b"".join([head, *(_BLOCK.pack(int(c), len(w), s) for c, w, s in zip(counts, coded, sums)), *(w.astype("<u4").tobytes() for w in coded)])
 
 
 def decode(segment: bytes, lanes: int = 1024) -> np.ndarray:
     """All ids of a segment; ``ValueError`` if a block does not match its checksum."""
-    magic, version, nibbles, n, block, blocks = _HEAD.unpack_from(segment)
+    magic, version, _, n, highest, block, blocks = _HEAD.unpack_from(segment)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a token id segment")
     table = np.frombuffer(segment, "<u4", 3 * blocks, _HEAD.size).reshape(blocks, 3).astype(np.int64)
-    at = _HEAD.size + _BLOCK.size * blocks + 2 * np.concatenate([[0], np.cumsum(table[:, 1])]).astype(np.int64)
+    at = _HEAD.size + _BLOCK.size * blocks + 4 * np.concatenate([[0], np.cumsum(table[:, 1])]).astype(np.int64)
     if at[-1] != len(segment) or table[:, 0].sum() != n:
         raise ValueError("the segment is cut short")
     out = []
     for lo in range(0, blocks, lanes):
         part = table[lo : lo + lanes]
-        words = np.zeros((len(part), int(part[:, 1].max()) + 4), np.uint16)
+        words = np.zeros((len(part), int(part[:, 1].max()) + 1), np.uint32)
         for i, (_, length, _) in enumerate(part):
-            words[i, :length] = np.frombuffer(segment, "<u2", length, at[lo + i])
-        grid = _decode_lanes(words, part[:, 0], nibbles)
+            words[i, :length] = np.frombuffer(segment, "<u4", length, at[lo + i])
+        grid = _decode_lanes(words, part[:, 0], highest)
         for i, (count, _, crc) in enumerate(part):
             ids = grid[i, :count].astype("<u4")
             if zlib.crc32(ids.tobytes()) != crc:
