@@ -24,14 +24,22 @@ MAGIC, VERSION = b"LSID", 2
 _HEAD, _BLOCK = struct.Struct("<4sBBQIII"), struct.Struct("<III")
 _U = np.uint64
 _BITS = 15  # shares add up to 2 ** _BITS
-_SLOTS = 12  # log2 of the contexts that each order keeps
+_SLOTS = 11  # log2 of the contexts that each order keeps
 _RATE = 5
 _TOP, _WORD, _MASK = _U(2**64 - 1), _U(32), _U(2**32 - 1)
-_LARGEST = 1 << 16  # ids in a block: shares times counts stay under 32 bits
+_LARGEST = 1 << 15  # ids in a block: shares times counts stay under 32 bits
 _NEW, _TWO, _ONE, _COUNT = range(4)
-#: Where the three bounds between the shares move when a share was right; none falls below 1 / 512.
-_TARGET = np.array([[64 * (i + 1) if i < k else (1 << _BITS) - 64 * (3 - i) for i in range(3)] for k in range(4)], np.int32)
-_START = np.array([1 << 14, (1 << 14) + (1 << 12), (1 << 14) + (1 << 13)], np.int32)
+_FIELD, _PART = _U(2**16 - 1), _U(0x07FF07FF07FF)
+
+
+def _packed(bounds: list[int]) -> int:
+    """The three bounds between the shares, 16 bits each."""
+    return sum(b << (16 * i) for i, b in enumerate(bounds))
+
+
+#: A 32nd of where the bounds move when a share was right; no share falls below 1 / 1024.
+_TARGET = np.array([_packed([(64 * (i + 1) if i < k else (1 << _BITS) - 64 * (3 - i)) >> _RATE for i in range(3)]) for k in range(4)], np.uint64)
+_START = _U(_packed([1 << 14, 5 << 12, 6 << 12]))
 
 
 def _retake(t: int) -> bool:
@@ -52,33 +60,40 @@ class _Counts:
 
     def _set(self, ids: np.ndarray) -> None:
         lanes, n = ids.shape
-        self.ids = ids.ravel()
+        self.ids, self.base = ids, np.arange(lanes, dtype=np.int64) * n
         new = np.ones((lanes, n), bool)
         np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
         at = np.flatnonzero(new)
         number = np.diff(at, append=lanes * n)
-        self.first = np.repeat((at % n).astype(np.uint32), number)
-        self.number = np.repeat(number.astype(np.uint32), number)
-        self.base = np.arange(lanes, dtype=np.int64) * n
+        #: id << 32 | its first place << 16 | its number
+        self.row = np.repeat((ids.ravel()[at].astype(np.uint64) << _WORD) | (((at % n) << 16) | number).astype(np.uint64), number)
 
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First place and number of ``ids`` (a row for each lane); the number is 0 for those without a count."""
-        lanes, width = ids.shape
-        row = np.arange(lanes, dtype=np.uint64) << _WORD
-        have = np.repeat(row, self.n)[: lanes * self.n] | self.ids[: lanes * self.n]
-        want = (row[:, None] | ids).ravel()
-        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-        hit = have[at] == want
-        return self.first[at].reshape(lanes, width), (self.number[at] * hit).reshape(lanes, width)
+
+def _ranks(ids: np.ndarray) -> np.ndarray:
+    """The rank of each id among the distinct ids of its lane."""
+    lanes, most = ids.shape
+    kind = np.uint32 if ids.max(initial=0) < 2**16 else np.uint64
+    key = (ids.astype(kind) << kind(16)) | np.arange(most, dtype=kind)
+    key.sort(axis=1)
+    high = (key >> kind(16)).ravel()
+    new = np.zeros(lanes * most, np.int32)
+    np.not_equal(high[1:], high[:-1], out=new[1:], casting="unsafe")
+    new[::most] = 0
+    rank = np.cumsum(new, dtype=np.int32).reshape(lanes, most)
+    rank -= rank[:, :1].copy()
+    out = np.empty(lanes * most, np.int32)
+    out[((key & kind(2**16 - 1)).astype(np.int64) + np.arange(0, lanes * most, most, dtype=np.int64)[:, None]).ravel()] = rank.ravel()
+    return out.reshape(lanes, most)
 
 
 class _Model:
     """What ``lanes`` blocks have learnt for orders 1 and 2 and for the shares."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, highest: int):
+        kind = np.uint32 if highest < 2**30 else np.uint64
         self.lane = np.arange(lanes, dtype=np.int64)
-        self.one, self.two = (np.zeros(lanes << _SLOTS, np.uint64) for _ in range(2))  # id << 2 | confidence
-        self.bounds = np.tile(_START, (lanes * 16, 1))
+        self.one, self.two = (np.zeros(lanes << _SLOTS, kind) for _ in range(2))  # id << 2 | confidence
+        self.bounds = np.full(lanes * 16, _START)
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.keep(lanes)
 
@@ -91,15 +106,14 @@ class _Model:
         shift = np.uint32(32 - _SLOTS)
         self.at1 = self.slot + (self.last >> shift)
         self.at2 = self.slot + (((self.last ^ self.before) * np.uint32(0x85EBCA6B)) >> shift)
-        one, two = self.one[self.at1], self.two[self.at2]
+        one, two = self.one[self.at1].astype(np.uint64), self.two[self.at2].astype(np.uint64)
         self.conf1, self.conf2 = one & _U(3), two & _U(3)
         self.id1, self.id2 = one >> _U(2), two >> _U(2)
         self.at = self.row + ((self.conf2 << _U(2)) | self.conf1).astype(np.int64)
         self.seen = self.bounds[self.at]
-        bounds = self.seen.astype(np.uint64)
-        self.b1, self.b2, self.b3 = bounds[:, 0], bounds[:, 1], bounds[:, 2]
+        self.b1, self.b2, self.b3 = self.seen & _FIELD, (self.seen >> _U(16)) & _FIELD, self.seen >> _WORD
 
-    def interval(self, ids: np.ndarray, counted: np.ndarray, n: int, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def interval(self, ids: np.ndarray, counted: np.ndarray, n: int, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of ``ids`` in the mixture of total ``n << _BITS``: in the shares of the orders that predict
         them, else by their counts, else in the share of ids without one."""
         n = _U(n)
@@ -111,10 +125,10 @@ class _Model:
         share = _U(1 << _BITS) - self.b3
         self.right = np.where(hit2, _TWO, np.where(hit1, _ONE, np.where(counted, _COUNT, _NEW)))
         self.hits, self.fresh = (hit1, hit2), np.flatnonzero(self.right == _NEW)
-        return np.where(counted, self.b3 * n + share * first, low * n), np.where(counted, share * number, (high - low) * n)
+        return np.where(counted, self.b3 * n + share * ((row >> _U(16)) & _FIELD), low * n), np.where(counted, share * (row & _FIELD), (high - low) * n)
 
     def learn(self, ids: np.ndarray) -> None:
-        self.bounds[self.at] = self.seen + ((np.take(_TARGET, self.right, 0) - self.seen) >> _RATE)
+        self.bounds[self.at] = self.seen - ((self.seen >> _U(_RATE)) & _PART) + _TARGET[self.right]
         row = ids << _U(2)
         for table, at, conf, hit in zip((self.one, self.two), (self.at1, self.at2), (self.conf1, self.conf2), self.hits):
             table[at] = row | np.minimum(conf + _U(1), _U(3)) * hit
@@ -132,7 +146,8 @@ def _settle(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class _Writer:
     def __init__(self, lanes: int, most: int):
-        self.words, self.n = np.zeros((lanes, 2 * most + 2), np.uint32), np.zeros(lanes, np.int64)
+        self.width = 2 * most + 2
+        self.words, self.at = np.zeros(lanes * self.width, np.uint32), np.arange(lanes, dtype=np.int64) * self.width
         self.low, self.size = np.zeros(lanes, np.uint64), np.full(lanes, _TOP)
 
     def put(self, lanes, start, width, total: int) -> None:
@@ -142,24 +157,25 @@ class _Writer:
         todo, s = _settle(low, size)
         if len(todo):
             which = todo if isinstance(lanes, slice) else lanes[todo]
-            self.words[which, self.n[which]] = low[todo] >> _WORD
-            self.n[which] += 1
+            at = self.at[which]
+            self.words[at] = low[todo] >> _WORD
+            self.at[which] = at + 1
             low[todo], size[todo] = low[todo] << _WORD, s << _WORD
         self.low[lanes], self.size[lanes] = low, size
 
     def end(self) -> list[np.ndarray]:
         for word in (self.low >> _WORD, self.low & _MASK):
-            self.words[np.arange(len(self.n)), self.n] = word
-            self.n += 1
-        return [w[:n] for w, n in zip(self.words, self.n.tolist())]
+            self.words[self.at] = word
+            self.at += 1
+        return [self.words[i * self.width : n] for i, n in enumerate(self.at.tolist())]
 
 
 class _Reader:
     def __init__(self, words: np.ndarray):
-        self.words, self.most = words, words.shape[1] - 1
-        lanes = len(words)
+        lanes, width = words.shape
+        self.words, self.most = words.ravel(), words.size - 1
         self.code = (words[:, 0].astype(np.uint64) << _WORD) | words[:, 1]
-        self.n = np.full(lanes, 2, np.int64)
+        self.at = np.arange(lanes, dtype=np.int64) * width + 2
         self.low, self.size = np.zeros(lanes, np.uint64), np.full(lanes, _TOP)
 
     def peek(self, lanes, total: int) -> np.ndarray:
@@ -171,9 +187,9 @@ class _Reader:
         todo, s = _settle(low, size)
         if len(todo):
             which = todo if isinstance(lanes, slice) else lanes[todo]
-            n = self.n[which]
-            self.code[which] = (self.code[which] << _WORD) | self.words[which, np.minimum(n, self.most)]
-            self.n[which] = n + 1
+            at = self.at[which]
+            self.code[which] = (self.code[which] << _WORD) | self.words[np.minimum(at, self.most)]
+            self.at[which] = at + 1
             low[todo], size[todo] = low[todo] << _WORD, s << _WORD
         self.low[lanes], self.size[lanes] = low, size
 
@@ -186,23 +202,33 @@ def _falling(counts: np.ndarray) -> np.ndarray:
 def _encode_lanes(ids: np.ndarray, counts: np.ndarray, highest: int) -> list[np.ndarray]:
     """Words of each lane."""
     lanes, most = ids.shape
-    out, model, order0, live = _Writer(lanes, most), _Model(lanes), _Counts(lanes), lanes
+    out, model, live = _Writer(lanes, most), _Model(lanes, highest), lanes
     ends = _falling(counts)
+    rank = _ranks(ids)
+    distinct = int(rank.max(initial=0)) + 1
+    rank += np.arange(0, lanes * distinct, distinct, dtype=np.int32)[:, None]
+    number = np.zeros(lanes * distinct, np.int64)
     places = [0, *(t for t in range(1, most) if _retake(t)), most]
-    for begin, end in zip(places, places[1:]):
+    for before, begin, end in zip([0, *places], places, places[1:]):
+        some, n = int(ends[begin]), max(begin, 1)
+        part = ids[:some, begin:end]
         if begin:
-            order0.take(ids[: ends[begin], :begin])
-        part = np.ascontiguousarray(ids[: ends[begin], begin:end])
-        first, number = (np.ascontiguousarray(x.T).astype(np.uint64) for x in order0.find(part))
+            number += np.bincount(rank[:some, before:begin].ravel(), minlength=len(number))
+            have = number[: some * distinct]
+            first = np.cumsum(have) - have - np.repeat(np.arange(some) * begin, distinct)
+            row = (((first << 16) | have) * (have > 0)).astype(np.uint64)
+            rows = np.ascontiguousarray(row[rank[:some, begin:end]].T)
+        else:  # what _Counts starts from
+            rows = np.ascontiguousarray((part == 0).T).astype(np.uint64)
         columns = np.ascontiguousarray(part.T).astype(np.uint64)
         for t in range(begin, end):
             if ends[t] < live:
                 live = int(ends[t])
                 model.keep(live)
             i, own = t - begin, slice(0, live)
-            x, f, k = columns[i, :live], first[i, :live], number[i, :live]
+            x, row = columns[i, :live], rows[i, :live]
             model.look()
-            out.put(own, *model.interval(x, k > 0, order0.n, f, k), order0.n << _BITS)
+            out.put(own, *model.interval(x, row > 0, n, row), n << _BITS)
             if len(model.fresh):
                 out.put(model.fresh, x[model.fresh], _U(1), highest + 1)
             model.learn(x)
@@ -212,7 +238,7 @@ def _encode_lanes(ids: np.ndarray, counts: np.ndarray, highest: int) -> list[np.
 def _decode_lanes(words: np.ndarray, counts: np.ndarray, highest: int) -> np.ndarray:
     lanes, most = len(counts), int(counts.max(initial=0))
     ids = np.zeros((lanes, most), np.uint32)
-    read, model, order0, live = _Reader(words), _Model(lanes), _Counts(lanes), lanes
+    read, model, order0, live = _Reader(words), _Model(lanes, highest), _Counts(lanes), lanes
     ends = _falling(counts)
     for t in range(most):
         if ends[t] < live:
@@ -227,9 +253,10 @@ def _decode_lanes(words: np.ndarray, counts: np.ndarray, highest: int) -> np.nda
         counted = share >= model.b3
         place = np.where(counted, (value - model.b3 * n) // (_U(1 << _BITS) - model.b3), _U(0))
         place = order0.base[:live] + place.astype(np.int64)
-        x = np.where(counted, order0.ids[place], np.where(share >= model.b2, model.id1, model.id2))
+        row = order0.row[place]
+        x = np.where(counted, row >> _WORD, np.where(share >= model.b2, model.id1, model.id2))
         x[share < model.b1] = _TOP
-        read.take(own, *model.interval(x, counted, order0.n, order0.first[place], order0.number[place]))
+        read.take(own, *model.interval(x, counted, order0.n, row))
         if len(model.fresh):
             x[model.fresh] = value = read.peek(model.fresh, highest + 1)
             read.take(model.fresh, value, _U(1))
