@@ -83,6 +83,30 @@ def test_codec_round_trip_and_checksum():
         idcodec.decode(bytes(coded))
 
 
+@pytest.mark.parametrize(("n", "block", "lanes"), [(1, 1, 1), (1025, 1025, 2), (9000, 3000, 2), (5000, 700, 3), (4097, 4096, 1024), (2100, 1, 1024)])
+def test_codec_blocks(n, block, lanes):
+    r = np.random.default_rng(n)
+    for x in (r.zipf(1.2, n) % 49408, np.tile(r.integers(0, 300, 37), n // 37 + 1)[:n], np.full(n, 2**32 - 1), np.zeros(n)):
+        x = x.astype(np.uint64).astype(np.uint32)
+        coded = idcodec.encode(x, block, lanes)
+        assert (idcodec.decode(coded, lanes) == x).all() and (idcodec.decode(coded, 7) == x).all()
+    with pytest.raises(ValueError):
+        idcodec.encode(x, 1 << 20)
+
+
+def test_codec_damage():
+    r = np.random.default_rng(5)
+    x = (r.zipf(1.3, 4000) % 49408).astype(np.uint32)
+    coded = idcodec.encode(x, 1000)
+    for at in r.integers(len(coded) - 2000, len(coded), 30):
+        broken = bytearray(coded)
+        broken[at] ^= int(r.integers(1, 256))
+        with pytest.raises(ValueError):
+            idcodec.decode(bytes(broken))
+    with pytest.raises(ValueError):
+        idcodec.decode(coded[:-5])
+
+
 def _ids(name, texts, end=None):
     from tokenizers import Tokenizer
 
