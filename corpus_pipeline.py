@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import common, decontaminate, line_dedup, packing, quality_rules, simhash
+from lodestrata.llm import common, decontaminate, line_dedup, near_copies, packing, quality_rules, simhash
 from lodestrata.llm.tokens import vocabulary
 
 
@@ -40,8 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of equal or nearly equal fingerprints, then one of each group of near copies."""
+    return near_copies.keep_one(simhash.keep_one(docs))
 
 
 @stage

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrata.llm import common, decontaminate, idcodec, language, license_scan, line_dedup, packing, quality_cnn, quality_rules, simhash, token_counts, token_files
+from lodestrata.llm import common, decontaminate, idcodec, language, license_scan, line_dedup, near_copies, packing, quality_cnn, quality_rules, simhash, token_counts, token_files
 from lodestrata.llm.queries import QUERIES
 from lodestrata.llm.tokens import PieceEncoder, vocabulary
 
@@ -395,3 +395,38 @@ def test_pipeline_against_brute_force(spark, sf):
     assert {r.doc_id: r.n for r in got} == want
 
 
+
+def _brute_near(rows, words=5, similarity=0.8):
+    """Pairs of ids whose sets of word shingles are as similar."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(len(w) - words + 1, 1))}
+    return [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_near_copies_by_similarity(spark, crowd):
+    r = random.Random(3)
+    rows = []
+    for base in range(4):
+        text = [f"w{r.randrange(5000)}" for _ in range(160)]
+        for k in range(12 if base == 0 else 4):
+            copy = list(text)
+            for at in r.sample(range(160), 1 if base == 0 else k):
+                copy[at] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), ""), (len(rows) + 1, "one two"), (len(rows) + 2, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near = [(a, b) for a, b in _brute_near(rows) if rows[a][1]]
+    kept = {x.doc_id for x in near_copies.keep_one(docs, crowd=crowd).collect()}
+    assert not [p for p in near if set(p) <= kept]
+    parent = {i: i for i, _ in rows}
+    for a, b in near:
+        parent[_find(parent, b)] = _find(parent, a)
+    assert {_find(parent, i) for i in kept} == {_find(parent, i) for i, _ in rows}
+    # the stage of the pipeline removes what the fingerprints at 3 bits leave
+    left = {x.doc_id for x in simhash.keep_one(docs).collect()}
+    assert [p for p in near if set(p) <= left]
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "near").collect()}
+    assert not [p for p in near if set(p) <= kept]
