@@ -17,6 +17,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> tuple[list[float], float]:
     """Coefficients and intercept of an unstandardised ridge regression, from one pass of sums."""
@@ -141,18 +143,44 @@ def principal_components(df: DataFrame, features: list[str], k: int = 2) -> tupl
     return out.drop("features", "__z", "__pc"), model.stages[-1].explainedVariance.toArray().tolist()
 
 
-def silhouette(df: DataFrame, features: list[str], cls: str, key: str) -> DataFrame:
-    """(cls, silhouette, n) by exact Euclidean distances to the rows of a bounded sample: give one (it is quadratic)."""
-    vec = F.array(*[F.col(f) for f in features])
-    a = df.select(F.col(key).alias("k1"), F.col(cls).alias("c1"), vec.alias("v1"))
-    b = df.select(F.col(key).alias("k2"), F.col(cls).alias("c2"), vec.alias("v2"))
-    d = F.sqrt(F.aggregate(F.zip_with("v1", "v2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    means = a.join(b, F.col("k1") != F.col("k2")).groupBy("k1", "c1", "c2").agg(F.avg(d).alias("m"))
+def silhouette(df: DataFrame, features: list[str], cls: str, key: str, block_rows: int = 2000) -> DataFrame:
+    """(cls, silhouette, n) by exact Euclidean distances between all rows, block by block.
+
+    Quadratic by nature: a task holds two blocks of about ``block_rows`` rows and gives each row's sum of distances for
+    each class of the other block, so only sums are shuffled."""
+    classes = [r[0] for r in df.select(cls).where(F.col(cls).isNotNull()).distinct().collect()]
+    kind = df.schema[cls].dataType.simpleString()
+    place = F.coalesce(F.array_position(F.array(*[F.lit(c).cast(kind) for c in classes]), F.col(cls)) - 1, F.lit(-1)) if classes else F.lit(-1)
+    blocks = max(1, -(-df.count() // block_rows))
+    rows = df.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), place.cast("int").alias("c"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    width = [f"x{i}" for i in range(len(features))]
+    packed = rows.groupBy(F.pmod("h", F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("k", "c", *width)).alias("rows"))
+    one = cut(packed.select("block", F.col("rows.k").alias("k"), F.col("rows.c").alias("c"), *[F.col(f"rows.{w}").alias(w) for w in width]))
+    names = ["k", "c", *width]
+    both = one.select(*[F.col(x).alias(f"a_{x}") for x in names]).crossJoin(one.select(*[F.col(x).alias(f"b_{x}") for x in names]))
+    key_type = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                k1, k2, c2 = np.asarray(r["a_k"]), np.asarray(r["b_k"]), np.asarray(r["b_c"])
+                d = np.zeros((len(k1), len(k2)))
+                for w in width:
+                    d += np.subtract.outer(np.asarray(r[f"a_{w}"], float), np.asarray(r[f"b_{w}"], float)) ** 2
+                other = k1[:, None] != k2[None, :]
+                d = np.where(other, np.sqrt(d), 0.0)
+                for c in np.unique(c2[c2 >= 0]):
+                    n = other[:, c2 == c].sum(1)
+                    yield pd.DataFrame({"k1": k1, "c1": r["a_c"], "c2": c, "s": d[:, c2 == c].sum(1), "n": n})[n > 0]
+
+    sums = both.repartition(min(blocks * blocks, 1024)).mapInPandas(run, f"k1 {key_type}, c1 int, c2 int, s double, n bigint")
+    means = sums.groupBy("k1", "c1", "c2").agg((F.sum("s") / F.sum("n")).alias("m"))
     own = F.max(F.when(F.col("c1") == F.col("c2"), F.col("m"))).alias("a")
-    other = F.min(F.when(F.col("c1") != F.col("c2"), F.col("m"))).alias("b")
+    other = F.min(F.when((F.col("c1") != F.col("c2")) & (F.col("c1") >= 0), F.col("m"))).alias("b")
     s = means.groupBy("k1", "c1").agg(own, other)
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return s.groupBy(F.col("c1").alias("cls")).agg(F.avg(value).alias("silhouette"), F.count("*").alias("n"))
+    name = F.get(F.array(*[F.lit(c).cast(kind) for c in classes]), F.when(F.col("c1") >= 0, F.col("c1"))) if classes else F.lit(None).cast(kind)
+    return s.groupBy(name.alias("cls")).agg(F.avg(value).alias("silhouette"), F.count("*").alias("n"))
 
 
 def forest_classifier(train: DataFrame, features: list[str], cls: str, weight: str | None = None, **settings):
