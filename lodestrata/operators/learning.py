@@ -255,3 +255,49 @@ def strict_leave_site_out(df: DataFrame, parts: list[str], features: list[str],
         rows = held.withColumns({"y_true": balance, "y_pred": linear(features, w, b), "markers": F.lit(",".join(sorted(num)))}).select(site, "y_true", "y_pred", "markers")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def leave_site_out(df: DataFrame, parts: list[str], features: list[str], site: str, fit_target: Callable[[np.ndarray], tuple[list[str], list[str]]], alpha: float = 1.0) -> DataFrame:
+    """As ``strict_leave_site_out``, for any number of sites: each fold's sums are those of all sites less its own.
+
+    One pass gives each site's sums and products of features and logarithms of parts, about the means of all rows; folds
+    are then fitted site by site in Arrow batches.  ``fit_target`` gets the training rows' variation matrix of ``parts``.
+    Parts are positive, features not null."""
+    z = {**{f: F.col(f).cast("double") for f in features}, **{p: F.ln(p) for p in parts}}
+    names, k = [f"z{i}" for i in range(len(z))], len(features)
+    means = df.agg(F.count("*").alias("n"), *[F.avg(v).alias(n) for n, v in zip(names, z.values())]).first()
+    if not means["n"]:
+        return df.select(site, *[F.lit(None).cast("double").alias(c) for c in ("y_true", "y_pred")], F.lit(None).cast("string").alias("markers"))
+    mean = np.array([means[n] for n in names])
+    centred = df.select(F.col(site).alias("site"), *[(v - float(m)).alias(n) for n, v, m in zip(names, z.values(), mean)])
+    pairs = list(itertools.combinations_with_replacement(range(len(names)), 2))
+    sums = [F.count("*").cast("double").alias("n"), *[F.sum(n).alias(f"s{n}") for n in names], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}_{j}") for i, j in pairs]]
+    moments = cut(centred.groupBy("site").agg(*sums))
+    cols = moments.columns[1:]
+    every = np.array(moments.agg(*[F.sum(c).alias(c) for c in cols]).first(), float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for own in batch[cols].to_numpy(float):
+                rest = every - own
+                n, total = rest[0], rest[1 : 1 + len(names)]
+                if n < 2:
+                    raise ValueError("a fold needs two training rows")
+                scatter = np.zeros((len(names), len(names)))
+                for (i, j), q in zip(pairs, rest[1 + len(names) :]):
+                    scatter[i, j] = scatter[j, i] = q - total[i] * total[j] / n
+                logs = scatter[k:, k:]
+                num, den = fit_target((np.diag(logs)[:, None] + np.diag(logs)[None, :] - 2 * logs) / (n - 1))
+                scale = np.sqrt(len(num) * len(den) / (len(num) + len(den)))
+                u = np.array([scale * ((p in num) / len(num) - (p in den) / len(den)) for p in parts])
+                w = np.linalg.solve(scatter[:k, :k] + alpha * np.eye(k), scatter[:k, k:] @ u)
+                at = mean + total / n
+                out.append((u.tolist(), w.tolist(), float(at[k:] @ u - at[:k] @ w), ",".join(sorted(num))))
+            yield pd.DataFrame(out, columns=["u", "w", "b", "markers"]).assign(site=batch["site"].to_numpy())[["site", "u", "w", "b", "markers"]]
+
+    kind = moments.schema["site"].dataType.simpleString()
+    models = cut(moments.mapInPandas(run, f"site {kind}, u array<double>, w array<double>, b double, markers string")).withColumnRenamed("site", "__site")
+    weighted = lambda c, values: sum((F.get(c, F.lit(i)) * v for i, v in enumerate(values)), F.lit(0.0))
+    y, p = weighted("u", list(z.values())[k:]), weighted("w", list(z.values())[:k]) + F.col("b")
+    return df.join(models, F.col(site) == F.col("__site")).select(site, y.alias("y_true"), p.alias("y_pred"), "markers")

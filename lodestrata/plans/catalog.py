@@ -723,13 +723,11 @@ def gbt_oof(spark, sf):
 
 @query()
 def strict_leave_site_out(spark, sf):
-    df = fixed(spark, sf).where(F.col("site").isin([str(i) for i in range(1, 5)]))
-
-    def target(train):
-        found = groups.compositional_groups(train, X, 0.95)
+    def target(variation):
+        found = groups.groups_from_variation(variation, X, 0.95)
         return found["markers"] or ["p"], found["background"]
 
-    out = learning.strict_leave_site_out(df, X, ["easting", "northing"], "site", target)
+    out = learning.leave_site_out(fixed(spark, sf), X, ["easting", "northing"], "site", target)
     return out.groupBy("site", "markers").agg(F.count("*").alias("n"), *r6(y_true=F.avg("y_true"), y_pred=F.avg("y_pred")))
 
 

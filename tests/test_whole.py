@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodestrata.operators import learning
+from lodestrata.operators import groups, learning
 from lodestrata.plans import catalog
 
 LARGER = "/root/testdata/sf0.1"
@@ -22,3 +22,18 @@ def test_silhouette_of_every_pixel(spark):
         assert got == {k: (pytest.approx(s[c == k].mean()), (c == k).sum()) for k in range(3)}
     every = spark.read.parquet(f"{LARGER}/embeddings.parquet").count()
     assert sum(r.n for r in catalog.QUERIES["silhouette_exact"](spark, LARGER).collect()) == every
+
+
+def test_leave_site_out_of_every_site(spark, sf):
+    df, near = catalog.fixed(spark, sf).where("site IN ('1', '2', '3')"), ["easting", "northing"]
+
+    def split(found):
+        return found["markers"] or ["p"], found["background"]
+
+    rows = lambda out: sorted((r.site, r.markers, r.y_true, r.y_pred) for r in out.collect())
+    got = rows(learning.leave_site_out(df, catalog.X, near, "site", lambda t: split(groups.groups_from_variation(t, catalog.X, 0.95))))
+    want = rows(learning.strict_leave_site_out(df, catalog.X, near, "site", lambda train: split(groups.compositional_groups(train, catalog.X, 0.95))))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], rtol=0, atol=1e-7)
+    every = {r.site: r.n for r in catalog.QUERIES["strict_leave_site_out"](spark, sf).collect()}
+    assert every == {r.site: r["count"] for r in df.sparkSession.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_suppkey").count().selectExpr("CAST(l_suppkey AS STRING) AS site", "count").collect()}
