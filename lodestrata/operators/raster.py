@@ -231,30 +231,31 @@ def clip_to(pixels: DataFrame, polygons: DataFrame, grid: Header, bands: list[st
 # --- sieve ----------------------------------------------------------------------------------------------------------
 
 
-def connected(mask: DataFrame, connectivity: int = 4, cls="cls", rounds: int = 100) -> DataFrame:
+def connected(mask: DataFrame, connectivity: int = 4, cls="cls", rounds: int = 60) -> DataFrame:
     """(r, c, cls, blob): the smallest pixel number of each connected region of one class.
 
-    Labels spread along edges and then jump to their label's label, so rounds grow with the logarithm of a region's
-    length; every round ends in a written table."""
+    Alternating large-star and small-star rounds, each with its edges as a written table, until they settle; it is an
+    error if they do not."""
     moves = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     nodes = mask.select("r", "c", cls, (F.col("r").cast("bigint") * 1_000_000_007 + F.col("c")).alias("id"))
     other = nodes.select(F.col("r").alias("r2"), F.col("c").alias("c2"), F.col(cls).alias("cls2"), F.col("id").alias("b"))
     steps = nodes.select(F.col("id").alias("a"), cls, F.explode(F.array(*[F.struct((F.col("r") + i).alias("r2"), (F.col("c") + j).alias("c2")) for i, j in moves])).alias("m"))
-    edges = steps.select("a", cls, "m.r2", "m.c2").join(other, ["r2", "c2"]).where(F.col(cls) == F.col("cls2")).select("a", "b")
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(edges)
-    labels, before = nodes.select("id", F.col("id").alias("blob")), None
+    edges = steps.select("a", cls, "m.r2", "m.c2").join(other, ["r2", "c2"]).where(F.col(cls) == F.col("cls2"))
+    edges, before = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), None
     for _ in range(rounds):
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("blob").alias("least"))
-        lower = labels.join(near, labels.id == near.a, "left").select("id", F.least("blob", F.coalesce("least", "blob")).alias("blob"))
-        jump = lower.select(F.col("id").alias("at"), F.col("blob").alias("to"))
-        labels = lower.join(jump, lower.blob == jump["at"]).select("id", F.col("to").alias("blob"))
-        labels = cut(labels)
-        now = labels.agg(F.sum("blob")).first()[0]
+        # large star: a pixel's larger neighbours go to the smallest of it and its neighbours
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: a pixel and its smaller neighbours go to the smallest of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return nodes.join(edges, nodes.id == edges.u, "left").select("r", "c", cls, F.coalesce("v", "id").alias("blob"))
         before = now
-    return nodes.join(labels, "id").select("r", "c", cls, "blob")
+    raise RuntimeError("regions did not settle")
 
 
 def sieve(mask: DataFrame, min_size: int, connectivity: int = 4, nodata: int = 0, cls="cls") -> DataFrame:

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestrata.operators import groups, learning
+from lodestrata.operators import groups, learning, raster
 from lodestrata.plans import catalog
 
 LARGER = "/root/testdata/sf0.1"
@@ -37,3 +38,12 @@ def test_leave_site_out_of_every_site(spark, sf):
     assert np.allclose([r[2:] for r in got], [r[2:] for r in want], rtol=0, atol=1e-7)
     every = {r.site: r.n for r in catalog.QUERIES["strict_leave_site_out"](spark, sf).collect()}
     assert every == {r.site: r["count"] for r in df.sparkSession.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_suppkey").count().selectExpr("CAST(l_suppkey AS STRING) AS site", "count").collect()}
+
+
+def test_regions_settle(spark):
+    arm = 120
+    cells = [(r, c, 1) for r in range(arm) for c in (0, 2)] + [(arm, c, 1) for c in range(3)] + [(r, 1, 2) for r in range(arm)]
+    got = raster.connected(spark.createDataFrame(cells, "r int, c int, cls int")).groupBy("cls").agg(F.min("blob"), F.max("blob"), F.count("*")).collect()
+    assert {tuple(r) for r in got} == {(1, 0, 0, 2 * arm + 3), (2, 1, 1, arm)}
+    with pytest.raises(RuntimeError):
+        raster.connected(spark.createDataFrame(cells, "r int, c int, cls int"), rounds=2)
