@@ -47,3 +47,11 @@ def test_regions_settle(spark):
     assert {tuple(r) for r in got} == {(1, 0, 0, 2 * arm + 3), (2, 1, 1, arm)}
     with pytest.raises(RuntimeError):
         raster.connected(spark.createDataFrame(cells, "r int, c int, cls int"), rounds=2)
+
+
+def test_mape_of_every_pair(spark):
+    pairs = spark.read.parquet(f"{LARGER}/events.parquet").select("event_id", "value").toPandas()
+    true = np.log(pairs.value.where(pairs.value > 0) / 50)
+    guess = true * 0.5 + ((pairs.event_id * 7919) % 1000) / 500.0 - 1
+    want = np.log((np.abs(guess - true) / np.maximum(np.abs(true), np.finfo(float).eps)).mean())
+    assert catalog.QUERIES["mape_all_rows"](spark, LARGER).first().ln_mape == pytest.approx(want, rel=1e-6)
