@@ -6,12 +6,13 @@ word of it.  Lines without words stay.
 
 Only DataFrame functions are used.  Every line emits its variants with one word deleted as hashed keys: with the place of
 the word, which is equal for lines that differ in that word; without it, which is equal to the full key of a line that
-lacks the word.  Equal keys give candidates, and the edit distance of each is verified on the words.
+lacks the word.  Every word is hashed with its place, so permuted words give other keys.  Equal keys give candidates, and
+the edit distance of each is verified on the words.
 
 Two lines one edit apart share the words of their first or of their second half, so lines whose halves occur in no other
 line emit nothing, and the others emit only variants of the half that may differ.  All members of a key with a place are
-one replacement apart, so each is compared with the earliest only: rows grow with the number of lines, whatever the size
-of a group.
+one replacement apart, so each is compared with the earliest only; a key without a place belongs to one shorter line, so
+a variant meets one line.  Rows grow with the number of words, whatever the size of a group.
 
 Defined results: null and empty texts have one line without words and stay as they are (null as empty); equal ids are
 told apart by their texts, and rows equal in both keep and lose the same lines; an empty table gives no rows; a document
@@ -20,7 +21,7 @@ whose worded lines all go keeps an empty text and ``emptied`` true.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -85,14 +86,15 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int, made: list[DataF
         made.append(common.persist(df, name))
         return made[-1]
 
-    keys = distinct.where(F.col("size") >= min_words).select("h1", F.explode("keys").alias("k"))
-    shared = keys.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
-    shared = written(shared, "half-keys")
-    hits = keys.join(_small(shared), "k").groupBy("h1").agg(F.bit_or(F.lit(1).cast("bigint").bitwiseAND(F.col("k") + 1)).alias("front"), F.bit_or(F.col("k").bitwiseAND(F.lit(1).cast("bigint"))).alias("back"))
-    hits = written(distinct.join(hits, "h1").select("h1", "h2", "pos", "front", "back"), "candidates")
+    line = ["h1", "h2"]  # 128 bits name a line
+    keys = distinct.where(F.col("size") >= min_words).select(*line, F.explode("keys").alias("k"))
+    several = (F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))
+    shared = written(keys.groupBy("k").agg(several.alias("several")).where("several").select("k"), "half-keys")
+    hits = keys.join(_small(shared), "k").groupBy(*line).agg(F.bit_or(F.lit(1).cast("bigint").bitwiseAND(F.col("k") + 1)).alias("front"), F.bit_or(F.col("k").bitwiseAND(F.lit(1).cast("bigint"))).alias("back"))
+    hits = written(distinct.join(hits, line).select(*line, "pos", "front", "back"), "candidates")
     # the words of each candidate, from the place where it stands first
     place = hits.groupBy(F.col("pos.doc_id").alias("d"), F.col("pos.th").alias("t"))
-    place = written(place.agg(F.collect_list(F.struct("pos.n", "h1", "front", "back")).alias("at")), "places")
+    place = written(place.agg(F.collect_list(F.struct("pos.n", *line, "front", "back")).alias("at")), "places")
     text = common.text_of()
     texts = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     # copies of a whole row stand at the same place: one of them is enough
@@ -100,30 +102,33 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int, made: list[DataF
     # the lines are bound to a lambda's variable: no row carries all of them along for each candidate
     wanted = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.transform("at", lambda x: F.struct(x.alias("x"), F.get(lines, x["n"]).alias("line"))))[0]
     both = both.select("doc_id", "th", F.explode(wanted).alias("y")).select("doc_id", "th", "y.x.*", "y.line")
-    lines = both.select("h1", F.struct("doc_id", "th", "n").alias("pos"), F.split(_plain(F.col("line")), " ").alias("w"), "front", "back")
-    lines = lines.dropDuplicates(["h1", "pos"]).withColumn("size", F.size("w"))
-    lines = written(lines, "candidate-lines")
-    placed, loose = F.transform("w", lambda x, i: F.xxhash64(x, i)), F.transform("w", lambda x: F.xxhash64(x))
-    hashed = lines.select("h1", "size", "front", "back", placed.alias("g"), loose.alias("l"))
-    hashed = hashed.withColumns({"gx": _xor(F.col("g")), "lx": _xor(F.col("l"))})
+    rows = both.select(*line, F.struct("doc_id", "th", "n").alias("pos"), F.split(_plain(F.col("line")), " ").alias("w"), "front", "back")
+    rows = written(rows.dropDuplicates([*line, "pos"]).withColumn("size", F.size("w")), "candidate-lines")
+    # hashes of each word with its place, and with the place that it has once an earlier word is gone
+    here, ahead = F.transform("w", lambda x, i: F.xxhash64(x, i)), F.transform("w", lambda x, i: F.xxhash64(x, i - 1))
+    words = rows.select(*line, "pos", "size", "front", "back", here.alias("g"), ahead.alias("s"))
+    words = words.withColumns({"gx": _xor(F.col("g")), "sx": _xor(F.col("s"))})
+    each = words.select(*line, "pos", "size", "front", "back", "gx", "sx", F.posexplode(F.arrays_zip("g", "s")).alias("i", "x"))
+    each = each.select(*line, "pos", "size", "front", "back", "i", "x.g", "x.s", "gx", "sx")
     half = (F.col("size") / 2).cast("int")
-    spots = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: ((F.col("front") == 1) & (i >= half)) | ((F.col("back") == 1) & (i < F.col("size") - half)))
-    spread = hashed.select("h1", "size", "g", "l", "gx", "lx", F.explode(spots).alias("i"))
-    # replaced words: (size, place, the other words)
-    replaced = spread.select("h1", F.xxhash64("size", "i", F.col("gx").bitwiseXOR(F.col("g")[F.col("i")])).alias("k"))
-    groups = replaced.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
-    groups = written(groups, "replaced-keys")
-    members = replaced.join(_small(groups), "k").join(lines.select("h1", "pos"), "h1")
-    firsts = members.groupBy("k").agg(F.min(F.struct("pos", "h1")).alias("first"))
-    pairs = members.join(firsts, "k").select("h1", F.col("first.h1").alias("other")).where("h1 <> other")
-    # inserted words: the longer line's variants meet the full key of the shorter
-    variants = spread.select(F.col("h1").alias("long"), F.xxhash64(F.col("size") - 1, F.col("lx").bitwiseXOR(F.col("l")[F.col("i")])).alias("k"))
-    full = written(hashed.select(F.col("h1").alias("short"), F.xxhash64("size", "lx").alias("k")), "full-keys")
-    met = variants.join(_small(full), "k")
-    pairs = pairs.unionByName(met.select(F.col("long").alias("h1"), F.col("short").alias("other"))).distinct()
-    mine, other = (lines.select(F.col("h1").alias(a), F.col("pos").alias(f"{a}_pos"), F.col("w").alias(f"{a}_w")) for a in ("h1", "other"))
-    checked = pairs.join(mine, "h1").join(other, "other").where(one_edit(F.col("h1_w"), F.col("other_w")))
-    later = F.when(F.col("h1_pos") > F.col("other_pos"), F.col("h1_pos")).otherwise(F.col("other_pos"))
+    may_differ = ((F.col("front") == 1) & (F.col("i") >= half)) | ((F.col("back") == 1) & (F.col("i") < F.col("size") - half))
+    # replaced words: (size, place, the other words at theirs); the first of a key's lines stands for all of them
+    replaced = each.where(may_differ).select(*line, "pos", F.xxhash64("size", "i", F.col("gx").bitwiseXOR(F.col("g"))).alias("k"))
+    groups = replaced.groupBy("k").agg(several.alias("several"), F.min(F.struct("pos", *line)).alias("first")).where("several")
+    groups = written(groups.select("k", F.col("first.h1").alias("o1"), F.col("first.h2").alias("o2")), "replaced-keys")
+    pairs = replaced.join(_small(groups), "k").where("h1 <> o1 OR h2 <> o2").select(*line, "o1", "o2")
+    # inserted words: a longer line's words without one, each at its place then, meet the words of the shorter line.  The
+    # order of the words is part of the key, so a key belongs to one shorter line
+    run = Window.partitionBy(*line).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.bit_xor(F.col("g").bitwiseXOR(F.col("s"))).over(run).bitwiseXOR(F.col("g")).bitwiseXOR(F.col("sx"))
+    variants = each.select(*line, "size", "front", "back", "i", before.alias("left")).where(may_differ)
+    variants = variants.select(*line, F.xxhash64(F.col("size") - 1, "left").alias("k"))
+    full = written(words.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.xxhash64("size", "gx").alias("k")), "full-keys")
+    pairs = pairs.unionByName(variants.join(_small(full), "k").select(*line, "o1", "o2")).distinct()
+    mine = rows.select(*line, F.col("pos").alias("h_pos"), F.col("w").alias("h_w"))
+    other = rows.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("pos").alias("o_pos"), F.col("w").alias("o_w"))
+    checked = pairs.join(mine, line).join(other, ["o1", "o2"]).where(one_edit(F.col("h_w"), F.col("o_w")))
+    later = F.when(F.col("h_pos") > F.col("o_pos"), F.col("h_pos")).otherwise(F.col("o_pos"))
     return checked.select(later.alias("pos")).distinct()
 
 
