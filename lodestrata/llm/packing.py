@@ -1,9 +1,9 @@
 """Sequence packing (operator 7) by non-negative least squares.
 
 Documents are cut into full windows; what remains of each is shorter than a window.  For each group of consecutive
-documents, combinations of up to three remainder lengths that fill a window exactly are enumerated, repeat counts are
-fitted to the histogram of remainder lengths by non-negative least squares, rounded and kept feasible; the remainders
-left over are packed greedily, cut where a window ends.  The last, unfilled window of a group is split into sequences
+documents, all combinations of up to three remainder lengths that fill a window exactly are enumerated (threes only of
+lengths that pairs leave over), repeat counts are fitted to the histogram of remainder lengths by non-negative least
+squares to a tolerance, rounded and kept feasible; the remainders left over are packed greedily, cut where a window ends.  The last, unfilled window of a group is split into sequences
 whose lengths are powers of two, which need no padding.
 
 A group is a bounded number of ids of one task, so memory is bounded, no text is shuffled, and a lost task is redone
@@ -31,54 +31,71 @@ GROUP_IDS = 4 << 20
 _PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, part int, seq bigint, offset bigint"
 
 
-def combinations(histogram: np.ndarray, window: int, columns: int = 6000) -> list[tuple[int, ...]]:
-    """Up to three lengths that fill a window, or one that is a power of two; threes by how often they can be used."""
+def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
+    """All combinations that can matter, as rows of three lengths (0: none): pairs that fill a window, threes of lengths
+    that the pairs leave over (by how often they can be used), and single lengths that are powers of two."""
     have = np.flatnonzero(histogram)
-    ones = [(int(a),) for a in have if a & (a - 1) == 0]
-    pairs = [(int(a), int(window - a)) for a in have if a <= window - a and histogram[window - a]]
+    ones = have[have & (have - 1) == 0]
+    low = have[(have <= window - have) & (histogram[window - have] > 0)]
+    pairs = np.stack([low, window - low], 1)
     left = histogram.copy()
-    for a, b in pairs:
+    for a, b in pairs.tolist():
         m = min(left[a], left[b]) if a != b else left[a] // 2 * 2
         left[a] -= m
         left[b] -= m if a != b else 0
-    have, threes = np.flatnonzero(left), []
+    have, threes = np.flatnonzero(left), [np.zeros((0, 4), np.int64)]
     for a in have[have <= window // 3]:
         b = have[(have >= a) & (have <= (window - a) // 2)]
+        b = b[left[window - a - b] > 0]
         c = window - a - b
-        ok = left[c] > 0
-        threes += zip(np.full(ok.sum(), a).tolist(), b[ok].tolist(), c[ok].tolist(), np.minimum(np.minimum(left[a], left[b[ok]]), left[c[ok]]).tolist())
-    threes.sort(key=lambda x: -x[3])
-    return pairs + [x[:3] for x in threes[:columns]] + ones
-
-
-def repeat_counts(histogram: np.ndarray, combos: list[tuple[int, ...]], sweeps: int = 4) -> list[float]:
-    """Non-negative least squares of combination counts against the histogram, by coordinate descent."""
-    rest, x = histogram.astype(float).tolist(), [0.0] * len(combos)
-    use = []
-    for combo in combos:
-        times = defaultdict(int)
-        for a in combo:
-            times[a] += 1
-        use.append((tuple(times.items()), float(sum(m * m for m in times.values()))))
-    for _ in range(sweeps):
-        for j, (rows, norm) in enumerate(use):
-            old = x[j]
-            new = old + sum(m * rest[a] for a, m in rows) / norm
-            if new < 0:
+        threes.append(np.stack([np.full(len(b), a), b, c, np.minimum(np.minimum(left[a], left[b]), left[c])], 1))
+    found = np.concatenate(threes)
+    found = found[np.argsort(-found[:, 3], kind="stable"), :3]
+    return np.concatenate([np.pad(pairs, ((0, 0), (0, 1))), found, np.pad(ones[:, None], ((0, 0), (0, 2)))]).astype(np.int64)
+
+
+def repeat_counts(histogram: np.ndarray, combos: np.ndarray, tolerance: float = 1e-3) -> np.ndarray:
+    """Non-negative least squares of combination counts against the histogram, by coordinate descent over the
+    coordinates that still want to move, until a round lowers the sum of squares by less than ``tolerance`` of it."""
+    rest, x = histogram.astype(float), np.zeros(len(combos))
+    rest[0] = 0.0
+    a, b, c = combos.T
+    twins = (a == b).astype(int) + (b == c) * (b > 0) + (a == c)  # a length that stands twice counts four
+    norm = (combos > 0).sum(1) + 2.0 * twins
+    before = float(rest @ rest)
+    while before > 0:
+        slope = rest[combos].sum(1)
+        todo = np.flatnonzero((slope > 1e-9) | ((slope < -1e-9) & (x > 0)))
+        now, found = rest.tolist(), []
+        for (p, q, r), old, size in zip(combos[todo].tolist(), x[todo].tolist(), norm[todo].tolist()):
+            new = old + (now[p] + now[q] + now[r]) / size
+            if new < 0.0:
                 new = 0.0
             if new != old:
-                x[j] = new
-                for a, m in rows:
-                    rest[a] -= m * (new - old)
+                step = new - old
+                now[p] -= step
+                now[q] -= step
+                now[r] -= step
+                now[0] = 0.0
+            found.append(new)
+        x[todo], rest = found, np.array(now)
+        after = float(rest @ rest)
+        if before - after <= tolerance * before:
+            break
+        before = after
     return x
 
 
 def plan(histogram: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
     """Combinations and how often each is used; together they never use a length more often than it occurs."""
     combos = combinations(histogram, window)
+    x = repeat_counts(histogram, combos)
     left, out = histogram.tolist(), []
-    for x, combo in sorted(zip(repeat_counts(histogram, combos), combos), key=lambda p: -p[0]):
-        n = int(x + 0.5)
+    used = np.flatnonzero(x >= 0.5)
+    used = used[np.argsort(-x[used], kind="stable")]
+    for times, row in zip(x[used].tolist(), combos[used].tolist()):
+        combo = tuple(v for v in row if v)
+        n = int(times + 0.5)
         for a in set(combo):
             n = min(n, left[a] // combo.count(a))
         if n > 0:
