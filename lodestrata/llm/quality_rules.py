@@ -94,26 +94,34 @@ def rules() -> dict[str, tuple[int, Column]]:
     }
 
 
-def estimate(votes: list[int], patterns: list[tuple[tuple[bool, ...], int]], rounds: int = 200, prior: float = 0.8) -> tuple[float, list[dict[bool, float]]]:
+def estimate(votes: list[int], patterns: list[tuple[tuple[bool, ...], int]], rounds: int = 1000, prior: float = 0.8) -> tuple[float, list[dict[bool, float]]]:
     """The log odds of a good document, and for each rule the log ratio of speaking and of abstaining.
 
-    Pseudo-counts in favour of ``START`` hold each rule on its side, so that good and bad cannot change places."""
-    total = max(1, sum(n for _, n in patterns))
-    start = [{True: START[v], False: (1 - START[v][0], 1 - START[v][1])} for v in votes]
-    p, weight = [dict(x) for x in start], max(2.0, 0.02 * total)
+    Plain expectation-maximisation from ``START``, with one pseudo-document on each side that votes as ``START`` says, so
+    that no estimate is zero.  A rule keeps its side: where its estimates cross, both become their pooled value (the
+    likeliest ones that do not cross), so good and bad cannot change places."""
+    total = sum(n for _, n in patterns)
+    p = [{True: START[v], False: (1 - START[v][0], 1 - START[v][1])} for v in votes]
     for _ in range(rounds):
-        sums = [{x: [weight * y for y in s[x]] for x in s} for s in start]
+        sums = [list(START[v]) for v in votes]
         good = 0.0
         for pattern, n in patterns:
             odds = math.log(prior / (1 - prior)) + sum(math.log(p[j][x][0] / p[j][x][1]) for j, x in enumerate(pattern))
             q = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
             good += n * q
             for j, x in enumerate(pattern):
-                sums[j][x][0] += n * q
-                sums[j][x][1] += n * (1 - q)
-        before, prior = prior, min(0.95, max(0.5, good / total)) if patterns else prior
-        p = [{x: tuple(s[x][y] / (s[True][y] + s[False][y]) for y in (0, 1)) for x in s} for s in sums]
-        if abs(prior - before) < 1e-9:
+                if x:
+                    sums[j][0] += n * q
+                    sums[j][1] += n * (1 - q)
+        before, prior = prior, (good + 1) / (total + 2) if patterns else prior
+        p = []
+        for v, (on_good, on_bad) in zip(votes, sums):
+            spoken = on_good / (good + 1), on_bad / (total - good + 1)
+            if (spoken[0] - spoken[1]) * v < 0:
+                spoken = ((on_good + on_bad) / (total + 2),) * 2
+            spoken = tuple(min(max(s, 1e-9), 1 - 1e-9) for s in spoken)
+            p.append({True: spoken, False: (1 - spoken[0], 1 - spoken[1])})
+        if abs(prior - before) < 1e-10:
             break
     return math.log(prior / (1 - prior)), [{x: math.log(r[x][0] / r[x][1]) for x in r} for r in p]
 
