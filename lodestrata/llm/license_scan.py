@@ -3,6 +3,8 @@
 Markup: ``[[ ... ]]`` is an optional region, ``{{m..n}}`` stands for m to n words of any kind (a replaceable region),
 ``{{a|b}}`` for one of some wordings; all else is mandatory and must match word for word.  A template becomes an
 automaton without empty moves; runs start at the places of words that can begin it, found for a whole batch at once.
+A text is accepted only where all mandatory wording of a template stands (``license_texts``: whole licences, whole
+standard headers, and short notices, each with a label of its own).
 
 Defined results: a null text is empty; texts without words have no matches and score 0; repeated rows and equal ids each
 get their row.  The score is the share of a text's words inside matches.
@@ -19,25 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .license_texts import TEMPLATES
 from .textprep import ALNUM, LOWER, Words, index_in, raw, slices
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: The method's own labels: templates of common notices.
-TEMPLATES = {
-    "apache-2.0": ["[[this {{0..3}} is]] {{licensed|released|distributed}} under the [[terms of the]] apache license [[version]] 2 0"],
-    "mit": [
-        "{{licensed|released|distributed}} under the [[terms of the]] mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction",
-    ],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "cc-by-4.0": ["licensed under [[a]] {{cc by|creative commons attribution}} 4 0 [[international]]"],
-    "cc-by-nc-4.0": ["licensed under [[a]] {{cc by nc|creative commons attribution noncommercial}} 4 0 [[international]]"],
-    "cc-by-sa": ["licensed under [[a]] {{cc by sa|creative commons attribution sharealike}} [[{{1..2}} international]]"],
-    "gpl-notice": ["licensed under the [[terms of the]] [[gnu]] general public license [[version {{1..2}}]]"],
-    "lgpl": ["gnu lesser general public license [[version {{1..2}}]]"],
-    "copyright": ["copyright [[c]] {{1..8}} all rights reserved"],
-}
 ANY = "*"
 
 
@@ -154,7 +142,7 @@ class Scanner:
         self.starts = np.zeros((len(self.automata), len(self.vocabulary) + 1), bool)
         for k, (_, a, _) in enumerate(self.automata):
             self.starts[k, sorted(a.first)] = True
-            # the second word narrows the starts, where it is always the same kind
+        # the second word narrows the starts, unless it may be any
         self.seconds = [{w for s in {t for _, t in a.moves[0]} for w, _ in a.moves[s]} if not any(t in a.ends for _, t in a.moves[0]) else {ANY} for _, a, _ in self.automata]
 
     def scan(self, words: Words) -> Iterator[tuple[int, str, bool, int, int]]:
