@@ -4,8 +4,10 @@ Words of a document that are in the benchmark's vocabulary get its word numbers;
 stands is the window's hash looked up, and every hit is verified word by word.  Windows are of ``n`` words; an item with
 fewer words is one window of its own length.
 
-A block of items is broadcast only if its text is within ``block_bytes``; a larger benchmark is scanned block by block,
-with a table written between two passes.  Memory depends on one block, never on the benchmark's size.
+What is broadcast is a block of items of ``block_bytes`` of UTF-8 text (or one longer item): its words, and for each
+window a hash and a place, about 16 bytes a word, as arrays.  A larger benchmark is scanned block by block; each pass
+writes its hits alone, and these meet the documents in one join at the end.  Memory depends on one block, never on the
+benchmark's size.
 
 Defined results: null and empty texts have no words and no hits; repeated rows and equal ids each get their row; an
 empty benchmark marks nothing; an item whose id is null is listed as an empty string.
@@ -21,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textprep import ALNUM, LOWER, Words, index_in, raw, slices
+from .textprep import ALNUM, LOWER, Words, gather_ranges, index_in, raw, slices
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,28 +39,27 @@ def _hash(rows: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The windows of a block of items, by length: sorted hashes, their words, and the items that hold them."""
+    """The windows of a block of items, by length: sorted hashes, and where in the block's words each window stands."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
+        self.ids = [name for name, _ in items]
         buf, offs = raw(pa.array([t or "" for _, t in items], pa.string()))
         words = Words(LOWER[buf] if len(buf) else buf, offs, ALNUM)
         coded = words.column().dictionary_encode()
-        self.vocabulary: list[str] = coded.dictionary.to_pylist()
-        numbers = coded.indices.to_numpy(zero_copy_only=False)
-        found: dict[int, dict[tuple, set[int]]] = {}
-        for i in range(len(items)):
-            w = numbers[words.first[i] : words.first[i + 1]].tolist()
-            size = min(n, len(w))
-            for k in range(len(w) - size + 1) if size else ():
-                found.setdefault(size, {}).setdefault(tuple(w[k : k + size]), set()).add(i)
-        self.ids = [name for name, _ in items]
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]] = {}
-        for size, windows in found.items():
-            rows = np.array(list(windows), np.int64)
-            h = _hash(rows)
+        self.vocabulary: pa.Array = coded.dictionary
+        self.numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        self.first, counts = words.first, words.counts()
+        each = np.minimum(counts, n)  # the length of an item's windows
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(each[each > 0]).tolist():
+            own = np.flatnonzero(each == size)
+            at, _ = gather_ranges(words.first[own], counts[own] - size + 1)
+            h = self._hashes(at, size)
             order = np.argsort(h, kind="stable")
-            owners = [tuple(sorted(x)) for x in windows.values()]
-            self.lengths[size] = h[order], rows[order], [owners[i] for i in order]
+            self.lengths[size] = h[order], at[order].astype(np.int32)
+
+    def _hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        return np.concatenate([_hash(self.numbers[at[k : k + 65536, None] + np.arange(size)]) for k in range(0, len(at), 65536)])
 
     def scan(self, words: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Which words are hit, and the items found in each row."""
@@ -70,7 +71,7 @@ class Grams:
         row_end = np.repeat(words.first[1:], words.counts())
         run = np.zeros(len(words) + 1, np.int64)
         np.cumsum(~known, out=run[1:])
-        for size, (hashes, rows, owners) in self.lengths.items():
+        for size, (hashes, places) in self.lengths.items():
             if size > len(words):
                 continue
             at = np.flatnonzero((run[size:] == run[:-size]) & (np.arange(len(words) - size + 1) + size <= row_end[: len(words) - size + 1]))
@@ -80,11 +81,12 @@ class Grams:
             h = _hash(windows)
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             for k in np.flatnonzero(hi > lo):
-                for j in range(lo[k], hi[k]):
-                    if (rows[j] == windows[k]).all():
-                        hit[at[k] : at[k] + size] = True
-                        row = int(np.searchsorted(words.first, at[k], "right")) - 1
-                        items.setdefault(row, set()).update(owners[j])
+                same = places[lo[k] : hi[k]]
+                same = same[(self.numbers[same[:, None] + np.arange(size)] == windows[k]).all(1)]
+                if len(same):
+                    hit[at[k] : at[k] + size] = True
+                    row = int(np.searchsorted(words.first, at[k], "right")) - 1
+                    items.setdefault(row, set()).update((np.searchsorted(self.first, same, "right") - 1).tolist())
         return hit, items
 
 
@@ -102,8 +104,9 @@ def merged(spans: list[int]) -> list[int]:
     return out
 
 
-def _scanner(shared, text: str, first: bool):
-    """Adds the words hit (as place pairs: first, past the last) and the items found to each row."""
+def _scanner(shared, text: str, hits_only: bool):
+    """Adds the words hit (as place pairs: first, past the last) and the items found to each row, or to rows that have
+    any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: Grams = shared.value
@@ -118,27 +121,35 @@ def _scanner(shared, text: str, first: bool):
                 spans[row] = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel().tolist()
             found = [sorted({grams.ids[i] for i in items.get(row, ())}) for row in range(batch.num_rows)]
             columns = dict(zip(batch.schema.names, batch.columns))
-            if not first:
-                spans = [merged(a + b) for a, b in zip(columns["hits"].to_pylist(), spans)]
-                found = [sorted({*a, *b}) for a, b in zip(columns["items"].to_pylist(), found)]
+            if hits_only:
+                columns.pop(text)
             n_hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
             columns |= {"n_words": pa.array(words.counts(), pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "hits": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_pydict(columns)
+            out = pa.RecordBatch.from_pydict(columns)
+            yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if hits_only else out
 
     return run
 
 
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of several blocks' hits as one: overlapping places joined."""
+    for batch in batches:
+        spans = [merged([p for own in row for p in own]) for row in batch.column(1).to_pylist()]
+        n_hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.int32())), batch.column(2)], ["rid", "n_hit", "hits", "items"])
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     block, size = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     for r in rows.toLocalIterator():
-        block.append((r.i, r.t))
-        size += len(r.t)
-        if size >= block_bytes:
+        length = len(r.t.encode())
+        if block and size + length > block_bytes:
             yield block
             block, size = [], 0
-    if block:
-        yield block
+        block.append((r.i, r.t))
+        size += length
+    yield block
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -146,17 +157,29 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int =
     spark = docs.sparkSession
     common.ship(spark)
     out = docs.drop("n_words", "n_hit", "hits", "items").withColumn("text", common.text_of())
-    first = True
-    for block in _blocks(benchmark, block_bytes):
-        if not first:
-            out = common.persist(out, "decontamination")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in ("n_words", "n_hit", "hits", "items"))
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(Grams(block, n)), "text", first), f"{schema}, {_SCAN}")
-        first = False
-    if first:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(Grams([], n)), "text", True), f"{schema}, {_SCAN}")
-    return out
+    types = lambda df: "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
+    blocks = _blocks(benchmark, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return out.mapInArrow(_scanner(spark.sparkContext.broadcast(Grams(block, n)), "text", False), types(out) + _SCAN)
+    (rid,) = common.fresh(out, "rid")
+    rows = common.persist(out.withColumn(rid, F.monotonically_increasing_id()), "decontamination")  # row numbers are now fixed
+    slim, found = rows.select(F.col(rid).alias("rid"), "text"), []
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Grams(block, n))
+        found.append(common.persist(slim.mapInArrow(_scanner(shared, "text", True), f"rid bigint, {_SCAN}"), "hits"))
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    every = spark.read.schema(found[0].schema).parquet(*[x.written_at for x in found])
+    several = every.groupBy("rid").agg(F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    several = common.persist(several.mapInArrow(_merger, "rid bigint, n_hit bigint, hits array<int>, items array<string>"), "merged-hits")
+    for table in found:
+        common.drop(table)
+    plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counted = rows.withColumn("n_words", F.regexp_count(plain, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("bigint"))
+    both = counted.join(several.withColumnRenamed("rid", f"{rid}_hit"), F.col(rid) == F.col(f"{rid}_hit"), "left")
+    empty = {"n_hit": F.lit(0).cast("bigint"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}
+    return both.withColumns({k: F.coalesce(k, v) for k, v in empty.items()}).select(*out.columns, "n_words", *empty)
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

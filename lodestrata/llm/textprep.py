@@ -90,11 +90,11 @@ class Words:
         return np.diff(self.first)
 
 
-def index_in(column: pa.Array, values: list[str]) -> np.ndarray:
+def index_in(column: pa.Array, values: list[str] | pa.Array) -> np.ndarray:
     """The place of each string in ``values``, or -1."""
-    if not len(column) or not values:
+    if not len(column) or not len(values):
         return np.full(len(column), -1, np.int64)
-    found = pc.index_in(column, value_set=pa.array(values, pa.string()))
+    found = pc.index_in(column, value_set=values if isinstance(values, pa.Array) else pa.array(values, pa.string()))
     return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
