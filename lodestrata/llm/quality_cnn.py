@@ -1,13 +1,13 @@
 """Quality classifier (operator 1): a byte-level convolutional network in NumPy.
 
 Each byte is read with its position's repetition flag (the eight bytes from here equal those 2 to 32 bytes before) as a
-one-hot input; learned filters of ``WIDTH`` bytes run at every ``STRIDE``-th place of overlapping chunks that cover the
-whole document.  A chunk's features are its filters' largest responses (rectified); a document's are the mean and the
+one-hot input; learned filters of ``WIDTH`` bytes run at every ``STRIDE``-th place, and at the last one, of overlapping
+chunks that cover the whole document.  A chunk's features are its filters' largest responses (rectified); a document's are the mean and the
 largest over its chunks, combined into one logit.  Over one-hot inputs a convolution is a sum of table rows, so filters
 are tables that are looked up; gradients reach only the places that won a pooling.
 
-Training takes about ``TRAIN_ROWS`` labelled rows (never over twice as many) of at most ``TRAIN_BYTES`` bytes each, a
-documented bound: those with the smallest hash of their id, so every run learns the same.  Scoring reads every byte of every text.
+Training takes about ``TRAIN_ROWS`` labelled rows (a tenth and 100 more at most) of at most ``TRAIN_BYTES`` bytes each, a
+documented bound (109 MB reach the driver at most): those with the smallest hash of their id, so every run learns the same.  Scoring reads every byte of every text.
 
 Defined results: null and empty texts score like a text of one blank (the network's answer to no content); repeated rows
 each get their row; without labelled rows of both kinds the score is the share of good labels (0.5 without any).
@@ -26,7 +26,7 @@ from . import common
 from .textprep import raw, slices
 
 WIDTH, STRIDE, CHUNK, STEP, FILTERS = 8, 2, 512, 256, 12
-TRAIN_ROWS, TRAIN_BYTES = 3000, 64_000
+TRAIN_ROWS, TRAIN_BYTES = 3000, 32_000
 _SYMBOLS = 512  # a byte, and the same byte inside a repetition
 
 
@@ -58,7 +58,7 @@ class Network:
 
     def _chunks(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and past-last response of each chunk, and each document's first chunk, by response numbers."""
-        places = np.maximum((lengths - WIDTH) // STRIDE + 1, 1)
+        places = np.maximum(-(-(lengths - WIDTH) // STRIDE) + 1, 1)
         size, step = CHUNK // STRIDE, STEP // STRIDE
         n = np.maximum(-(-(places - size) // step), 0) + 1
         first = np.concatenate([[0], np.cumsum(n)])
@@ -74,9 +74,10 @@ class Network:
         to = np.concatenate([[0], np.cumsum(padded)])
         x = np.full(to[-1], 32, np.int16)
         x[np.arange(len(buf)) + np.repeat(to[:-1] - offs[:-1], lengths)] = symbols(buf, offs)
-        places = (padded - WIDTH) // STRIDE + 1
+        places = -(-(padded - WIDTH) // STRIDE) + 1
         total = np.concatenate([[0], np.cumsum(places)])
-        at = (np.arange(total[-1]) - np.repeat(total[:-1], places)) * STRIDE + np.repeat(to[:-1], places)
+        at = (np.arange(total[-1]) - np.repeat(total[:-1], places)) * STRIDE
+        at = np.minimum(at, np.repeat(padded - WIDTH, places)) + np.repeat(to[:-1], places)  # the last place reads the last byte
         response = self.tables[0][x[at]]
         for k in range(1, WIDTH):
             response += self.tables[k][x[at + k]]
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes:
         return network
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, int(r.quality)) for r in chosen], "doc_id bigint, quality int")
     texts = docs.select("doc_id", common.text_of().alias("text")).where(F.octet_length("text") <= most_bytes)
-    learned = texts.join(F.broadcast(chosen), "doc_id").limit(2 * rows).collect()
+    learned = texts.join(F.broadcast(chosen), "doc_id").limit(common.at_most(rows)).collect()
     learned.sort(key=lambda r: (r.doc_id, r.text))
     network.train([r.text.encode() for r in learned], np.array([r.quality for r in learned]))
     return network
