@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coda
+from .metrics import value_ranks
 
 
 def _pairs(parts: list[str]) -> list[tuple[str, str]]:
@@ -215,24 +216,13 @@ def search_subsets(df: DataFrame, parts: list[str], sites: list[str], k_min: int
 # --- correlation of parts -------------------------------------------------------------------------------------------
 
 
-def average_rank(value: str | Column, by: list[str] | None = None) -> Column:
-    """Rank with ties averaged, within groups."""
-    w = Window.partitionBy(*(by or [F.lit(1)]))
-    v = F.col(value) if isinstance(value, str) else value
-    return F.rank().over(w.orderBy(v)) + (F.count("*").over(Window.partitionBy(*(by or [F.lit(1)]), v)) - 1) / 2
-
-
 def clr_spearman(df: DataFrame, parts: list[str]) -> DataFrame:
     """(part_i, part_j, rho): Spearman correlation of centred log ratios, each part ranked in its own group."""
     fills = df.agg(*[F.coalesce(F.min(F.when(F.col(p) > 0, F.col(p))) * 1e-3, F.lit(1e-9)).alias(f"f_{p}") for p in parts])
     filled = df.crossJoin(F.broadcast(fills)).select(*[F.when(F.col(p) > 0, F.col(p)).otherwise(F.col(f"f_{p}")).alias(p) for p in parts])
     ratios = filled.select(F.monotonically_increasing_id().alias("row"), *[c.alias(p) for c, p in zip(coda.clr(parts), parts)])
     long = ratios.select("row", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("v")) for p in parts])).alias("x")).select("row", "x.*")
-    counts = long.groupBy("part", "v").agg(F.count("*").alias("c"))
-    # ranks from the distinct values: the window holds a value once
-    below = F.coalesce(F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("part", "v", (below + (F.col("c") + 1) / 2).alias("rank"))
-    ranked = long.join(ranks, ["part", "v"]).groupBy("row").pivot("part", parts).agg(F.first("rank"))
+    ranked = long.join(value_ranks(long, "v", ["part"]), ["part", "v"]).groupBy("row").pivot("part", parts).agg(F.first("rank"))
     corr = ranked.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(_pairs(parts))])
     rows = F.array(*[F.struct(F.lit(a).alias("part_i"), F.lit(b).alias("part_j"), F.col(f"r{i}").alias("rho")) for i, (a, b) in enumerate(_pairs(parts))])
     return corr.select(F.explode(rows).alias("x")).select("x.*")

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 Y, P = "y_true", "y_pred"
 
 
+def dealt_by_range(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """``df`` in range buckets with their number ``__b``, as a written table: every plan that reads it sees the same
+    buckets (a range exchange that is planned twice may sample other bounds)."""
+    return cut(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()))
+
+
+def _along(by: list[str]):
+    """The buckets of a group in order: a row for each bucket and group."""
+    return Window.partitionBy(*(by or [F.lit(1)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _placed(local: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with what the buckets before theirs hold; null groups are groups too."""
+    named = totals.withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(["__b", *by])})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(["__b", *by])])
+    return local.join(named, same).drop(*[f"__k{i}" for i in range(len(by) + 1)])
+
+
 def value_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(by, value, rank) of each distinct value, ties averaged.
 
@@ -17,13 +37,12 @@ def value_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataF
     added, so no single task sees all values."""
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    dealt = counts.repartitionByRange(*by, value).withColumn("__b", F.spark_partition_id())
+    dealt = dealt_by_range(counts, [*by, value])
     own = Window.partitionBy("__b", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.withColumn("__before", F.coalesce(F.sum("c").over(own), F.lit(0)))
     totals = dealt.groupBy("__b", *by).agg(F.sum("c").alias("__n"))
-    along = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("__b", *by, F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__base"))
-    return local.join(base, ["__b", *by]).select(*by, value, (F.col("__base") + F.col("__before") + (F.col("c") + 1) / 2).alias("rank"))
+    base = totals.select("__b", *by, F.coalesce(F.sum("__n").over(_along(by)), F.lit(0)).alias("__base"))
+    return _placed(local, base, by).select(*by, value, (F.col("__base") + F.col("__before") + (F.col("c") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, a: str = Y, b: str = P) -> DataFrame:
@@ -70,14 +89,13 @@ def auc(df: DataFrame, positive: Column, score: str = P) -> DataFrame:
 def roc_curve(df: DataFrame, positive: Column, score: str = P) -> DataFrame:
     """(threshold, fpr, tpr) at each distinct score, highest first."""
     at = df.groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    dealt = at.repartitionByRange(F.desc(score)).withColumn("__b", F.spark_partition_id())
+    dealt = dealt_by_range(at, [F.desc(score)])
     own = Window.partitionBy("__b").orderBy(F.desc(score))
     cum = dealt.withColumns({"tp": F.sum("p").over(own), "fp": F.sum("n").over(own)})
     totals = dealt.groupBy("__b").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
-    along = Window.partitionBy(F.lit(1)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(1))
-    base = totals.select("__b", F.coalesce(F.sum("sp").over(along), F.lit(0)).alias("bp"), F.coalesce(F.sum("sn").over(along), F.lit(0)).alias("bn"), F.sum("sp").over(whole).alias("all_p"), F.sum("sn").over(whole).alias("all_n"))
-    return cum.join(F.broadcast(base), "__b").select(F.col(score).alias("threshold"), F.try_divide((F.col("fp") + F.col("bn")).cast("double"), F.col("all_n")).alias("fpr"), F.try_divide((F.col("tp") + F.col("bp")).cast("double"), F.col("all_p")).alias("tpr"))
+    base = totals.select("__b", F.coalesce(F.sum("sp").over(_along([])), F.lit(0)).alias("bp"), F.coalesce(F.sum("sn").over(_along([])), F.lit(0)).alias("bn"), F.sum("sp").over(whole).alias("all_p"), F.sum("sn").over(whole).alias("all_n"))
+    return _placed(cum, base, []).select(F.col(score).alias("threshold"), F.try_divide((F.col("fp") + F.col("bn")).cast("double"), F.col("all_n")).alias("fpr"), F.try_divide((F.col("tp") + F.col("bp")).cast("double"), F.col("all_p")).alias("tpr"))
 
 
 def confusion(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
@@ -94,14 +112,16 @@ def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFram
     return out.select("cls", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), F.coalesce("support", F.lit(0)).alias("support"))
 
 
-def row_ranks(df: DataFrame, order: list[Column]) -> DataFrame:
-    """``df`` with its place ``rn`` (from 1) in a total order and the number of rows ``n``, by range buckets."""
-    dealt = df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id())
-    local = dealt.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
-    totals = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
-    one = Window.partitionBy(F.lit(1))  # a row for each bucket
-    base = totals.select("__b", F.coalesce(F.sum("__n").over(one.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__n").over(one).alias("n"))
-    return local.join(F.broadcast(base), "__b").withColumn("rn", F.col("__base") + F.col("__rn")).drop("__b", "__rn", "__base")
+def row_ranks(df: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:
+    """``df`` with its place ``rn`` (from 1) in a total order and the number of rows ``n``, within groups if ``by`` names
+    them: range buckets, so that neither all rows nor a large group meet in one task."""
+    by = by or []
+    dealt = dealt_by_range(df, [*by, *order])
+    local = dealt.withColumn("__rn", F.row_number().over(Window.partitionBy("__b", *by).orderBy(*order)))
+    totals = dealt.groupBy("__b", *by).agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*(by or [F.lit(1)]))
+    base = totals.select("__b", *by, F.coalesce(F.sum("__n").over(_along(by)), F.lit(0)).alias("__base"), F.sum("__n").over(whole).alias("n"))
+    return _placed(local, base, by).withColumn("rn", F.col("__base") + F.col("__rn")).drop("__b", "__rn", "__base")
 
 
 def quantile_bins(df: DataFrame, value: str = P, bins: int = 5, tie: str = "serial") -> DataFrame:
@@ -143,22 +163,21 @@ def group_r2(df: DataFrame, by: str, skip_constant: bool = True, y: str = Y, p:
 
 
 def bootstrap_ci(sites: DataFrame, draws: int = 2000, y: str = "mean_true", p: str = "mean_pred", seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(lo, hi, n) of the correlation of site means over resamples; every draw is a weight from a hash of (draw, site).
-
-    A resample's weights are Poisson(1) counts, so each site decides alone how often it is drawn: no join by row number,
-    and draws are dealt out to tasks.  Undefined draws are dropped."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", "__key"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    steps, acc = [], 0.0
-    for k in range(7):
-        acc += math.exp(-1) / math.factorial(k)
-        steps.append(acc)
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    rows = sites.select(F.xxhash64(*sites.columns).alias("__key"), F.col(y).alias("y"), F.col(p).alias("p"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b")).withColumn("w", weight)
-    w = F.col("w")
-    s = rows.groupBy("b").agg(F.sum(w).alias("n"), F.sum(w * F.col("y")).alias("sy"), F.sum(w * F.col("p")).alias("sp"), F.sum(w * F.col("y") * F.col("y")).alias("yy"), F.sum(w * F.col("p") * F.col("p")).alias("pp"), F.sum(w * F.col("y") * F.col("p")).alias("yp"))
-    top = F.col("n") * F.col("yp") - F.col("sy") * F.col("sp")
-    bottom = F.sqrt(F.greatest(F.lit(0.0), F.col("n") * F.col("yy") - F.col("sy") * F.col("sy")) * F.greatest(F.lit(0.0), F.col("n") * F.col("pp") - F.col("sp") * F.col("sp")))
-    r = s.select(F.try_divide(top, bottom).alias("r")).where("r IS NOT NULL")
+    """(lo, hi, n) of the correlation of site means over resamples of as many sites as there are, drawn with replacement.
+
+    The j-th draw of a resample takes the site whose number is a hash of (seed, resample, j).  Sites are numbered once;
+    resamples are dealt out to tasks, and what they drew meets the sites in an equality join.  Undefined draws are
+    dropped."""
+    ranked = row_ranks(sites.select(F.col(y).alias("y"), F.col(p).alias("p"), F.struct(*sites.columns).alias("site")), [F.col("site")])
+    ranked = ranked.select(F.col("rn").alias("pick"), "y", "p", "n")
+    total = F.lit(sites.count())
+    spark = sites.sparkSession
+    taken = spark.range(1, draws + 1).withColumnRenamed("id", "b").repartition(F.col("b")).withColumn("n", total).where("n > 0")
+    taken = taken.select("b", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("j"), "n")
+    taken = taken.select("b", (F.pmod(F.xxhash64(F.lit(seed), "b", "j"), F.col("n")) + 1).alias("pick"))
+    rows = taken.join(ranked.drop("n"), "pick")
+    # the correlation by centred sums: corr() keeps means and co-moments, which do not cancel
+    r = rows.groupBy("b").agg(F.corr("y", "p").alias("r")).where("r IS NOT NULL AND NOT isnan(r)")
     return r.agg(F.percentile("r", F.lit(low)).alias("lo"), F.percentile("r", F.lit(high)).alias("hi"), F.count("*").alias("n"))
 
 
@@ -208,6 +227,6 @@ def with_folds(df: DataFrame, by: str, folds: int | None = None) -> DataFrame:
 
 def stratified_split(df: DataFrame, stratum: str, order: list[Column], test: float = 0.2) -> DataFrame:
     """``df`` with ``is_test``: a share of each stratum, at least one row of two or more, none of a single one."""
-    n = F.count("*").over(Window.partitionBy(stratum))
-    k = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    return df.withColumn("is_test", (n > 1) & (k <= F.greatest(F.lit(1), F.bround(n * F.lit(test), 0))))
+    ranked = row_ranks(df, order, [stratum])
+    held = (F.col("n") > 1) & (F.col("rn") <= F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(test), 0)))
+    return ranked.withColumn("is_test", held).drop("n", "rn")
