@@ -61,7 +61,7 @@ def band_keys(sets: list[list[int]]) -> np.ndarray:
 
 def _mapper(words: int, with_keys: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):  # a hash of each word takes a hundred bytes here
             found = [(rid, s) for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (s := shingles(text, words))]
             sets = [s for _, s in found]
             if not sets:

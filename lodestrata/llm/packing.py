@@ -147,12 +147,13 @@ def _packer(path: str, end_id: int | None, window: int, group_ids: int):
         held, names, sizes = [], [], []
 
         def flush(before: int):
-            ids, lengths = np.concatenate(held).astype("<u4"), np.concatenate(sizes)
+            ids, lengths = np.concatenate(held).astype("<u4", copy=False), np.concatenate(sizes)
+            held.clear()
             first, pieces = np.cumsum(lengths) - lengths, pack(lengths, window)
             d, start, length, seq, at = (np.array(x, np.int64) for x in zip(*pieces)) if pieces else [np.zeros(0, np.int64)] * 5
             lo = first[d] + start
-            for k in range(0, len(d), 4096):
-                cut = slice(k, k + 4096)
+            for k in range(0, len(d), 512):  # at most 4 MB of ids in a batch of whole windows
+                cut = slice(k, k + 512)
                 yield int(seq.max(initial=-1)) + 1, pa.RecordBatch.from_pydict({
                     "doc_id": pa.array([names[i] for i in d[cut]], pa.int64()),
                     "start": start[cut],

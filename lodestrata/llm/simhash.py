@@ -66,7 +66,7 @@ def fingerprints(texts: list[str], words: int = 3) -> np.ndarray:
 
 def _mapper(text: str, name: str, words: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1 << 20):  # a hash of each word takes a hundred bytes here
             columns = dict(zip(batch.schema.names, batch.columns))
             out = {k: columns[k] for k in keep}
             # the working text is the last column: one of the input may have the same name

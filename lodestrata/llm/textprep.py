@@ -6,6 +6,9 @@ words that splitting code points gives.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,6 +47,17 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+def release_unused() -> None:
+    """Give freed memory back to the system: workers are used again by later stages, beside a JVM that may have grown."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Whole rows in pieces of about ``limit`` bytes of text, so that working arrays stay bounded."""
     for batch in batches:
@@ -55,6 +69,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch, offs
+    release_unused()
 
 
 def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
