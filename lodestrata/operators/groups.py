@@ -57,24 +57,19 @@ def ward(distance: np.ndarray) -> np.ndarray:
     return np.array(out, float).reshape(-1, 4)
 
 
-def _leaves(tree: np.ndarray, node: int, n: int) -> list[int]:
-    return [node] if node < n else _leaves(tree, int(tree[node - n, 0]), n) + _leaves(tree, int(tree[node - n, 1]), n)
-
-
 def partition_signs(tree: np.ndarray) -> np.ndarray:
     """Sequential binary partition of a tree, inner nodes in pre-order: +1 on left leaves, -1 on right ones."""
-    n, out = len(tree) + 1, []
-
-    def visit(node: int) -> None:
+    n = len(tree) + 1
+    members = np.vstack([np.eye(n, dtype=int), np.zeros((n - 1, n), int)])  # which leaves hang below each node
+    for k, (a, b) in enumerate(tree[:, :2].astype(int)):
+        members[n + k] = members[a] | members[b]
+    out, open_nodes = [], [2 * n - 2]
+    while open_nodes:
+        node = open_nodes.pop()
         if node >= n:
-            row = np.zeros(n, int)
-            left, right = int(tree[node - n, 0]), int(tree[node - n, 1])
-            row[_leaves(tree, left, n)], row[_leaves(tree, right, n)] = 1, -1
-            out.append(row)
-            visit(left)
-            visit(right)
-
-    visit(2 * n - 2)
+            a, b = tree[node - n, :2].astype(int)
+            out.append(members[a] - members[b])
+            open_nodes += [b, a]
     return np.array(out)
 
 
@@ -152,38 +147,41 @@ def groups_from_variation(t: np.ndarray, parts: list[str], color_frac: float = 0
 
 
 def site_moments(df: DataFrame, parts: list[str], site: str = "site") -> DataFrame:
-    """(site, n, sums and sums of squares of every log ratio): they add up over sites, so every subset and every
-    leave-one-out variation matrix comes from them without another pass over the samples."""
+    """(site, n, means and squared deviations of every log ratio): they combine over sites without cancelling, so every
+    subset and every leave-one-out variation matrix comes from them without another pass over the samples."""
     x = {f"{a}|{b}": F.ln(a) - F.ln(b) for a, b in _pairs(parts)}
-    return df.groupBy(site).agg(F.count("*").alias("n"), *[F.sum(v).alias(f"s {k}") for k, v in x.items()], *[F.sum(v * v).alias(f"q {k}") for k, v in x.items()])
+    return df.groupBy(site).agg(F.count("*").alias("n"), *[F.avg(v).alias(f"m {k}") for k, v in x.items()], *[(F.var_pop(v) * F.count(v)).alias(f"d {k}") for k, v in x.items()])
 
 
 def subset_scores(df: DataFrame, subsets: DataFrame, parts: list[str], numerator: list[str], denominator: list[str], site: str = "site") -> DataFrame:
     """(subset_id, n, score): sample variance of a balance over each subset (subset_id, site)."""
     b = coda.group_balance(numerator, denominator)
-    moments = df.groupBy(site).agg(F.count("*").alias("n"), F.sum(b).alias("s"), F.sum(b * b).alias("q"))
-    total = subsets.join(moments, site).groupBy("subset_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    return total.select("subset_id", "n", F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1).alias("score"))
+    moments = df.groupBy(site).agg(F.count("*").alias("n"), F.avg(b).alias("m"), (F.var_pop(b) * F.count(b)).alias("d"))
+    met = subsets.join(moments, site)
+    total = met.groupBy("subset_id").agg(F.sum("n").alias("n"), (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("d").alias("inside"), F.collect_list(F.struct("n", "m")).alias("sites"))
+    between = F.aggregate("sites", F.lit(0.0), lambda a, s: a + s["n"] * (s["m"] - F.col("mean")) * (s["m"] - F.col("mean")))
+    return total.select("subset_id", "n", F.try_divide(F.col("inside") + between, F.col("n") - 1).alias("score"))
 
 
 def search_subsets(df: DataFrame, parts: list[str], sites: list[str], k_min: int, k_max: int, top: int = 10, max_combos: int = 40_000, greedy: bool = False, site: str = "site", by_share: bool = False, color_frac: float = 0.6) -> list[tuple]:
     """Site subsets by the variance (or share) of their leading balance: (score, sites), best first.
 
-    One pass over the samples gives additive moments for each site; all subsets are scored from them.
+    One pass over the samples gives moments for each site; all subsets (``max_combos`` at most, an error beyond) are
+    scored from these few rows.
     """
     rows = {r[site]: r for r in site_moments(df.where(F.col(site).isin(sites)), parts, site).collect()}
     names = _pairs(parts)
+    where = np.array([(parts.index(a), parts.index(b)) for a, b in names]).T
+    held = {s: (r["n"], np.array([r[f"m {a}|{b}"] for a, b in names]), np.array([r[f"d {a}|{b}"] for a, b in names])) for s, r in rows.items()}
 
     def score(chosen: tuple) -> float | None:
-        own = [rows[s] for s in chosen if s in rows]
-        n = sum(r["n"] for r in own)
+        own = [held[s] for s in chosen if s in held]
+        n = sum(x[0] for x in own)
         if n < 3:
             return None
+        mean = sum(x[0] * x[1] for x in own) / n
         t = np.zeros((len(parts), len(parts)))
-        for a, b in names:
-            s, q = (sum(r[f"{k} {a}|{b}"] for r in own) for k in "sq")
-            i, j = parts.index(a), parts.index(b)
-            t[i, j] = t[j, i] = max(q - s * s / n, 0) / (n - 1)
+        t[where[0], where[1]] = t[where[1], where[0]] = sum(x[2] + x[0] * (x[1] - mean) ** 2 for x in own) / (n - 1)
         try:
             signs = groups_from_variation(t, parts, color_frac)["signs"]
         except ValueError:
@@ -213,6 +211,17 @@ def search_subsets(df: DataFrame, parts: list[str], sites: list[str], k_min: int
     return sorted(scored, key=lambda x: -x[0])[:top]
 
 
+def combination_table(names: DataFrame, column: str, k_min: int, k_max: int) -> DataFrame:
+    """(size, members) of all sets of ``k_min`` to ``k_max`` of the (few) names, members in order."""
+    sets = names.select(F.array(column).alias("members"), F.col(column).alias("last")).where(F.col("last").isNotNull())
+    found = sets if k_min <= 1 else sets.limit(0)
+    for k in range(2, k_max + 1):
+        more = names.select(F.col(column).alias("next"))
+        sets = sets.join(more, F.col("next") > F.col("last")).select(F.concat("members", F.array("next")).alias("members"), F.col("next").alias("last"))
+        found = found.unionByName(sets) if k >= k_min else found
+    return found.select(F.size("members").alias("size"), "members")
+
+
 # --- correlation of parts -------------------------------------------------------------------------------------------
 
 
@@ -228,6 +237,32 @@ def clr_spearman(df: DataFrame, parts: list[str]) -> DataFrame:
     return corr.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def strong_pairs(correlations: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pairs correlated beyond ``least``, strongest first."""
+    return correlations.where(F.abs("rho") > least).orderBy(F.desc(F.abs("rho")), "part_i", "part_j")
+
+
+def merge_table(tree: np.ndarray, parts: list[str]) -> list[tuple[int, str, str, float, int]]:
+    """A tree as rows for a drawing: (step, left members, right members, height, size)."""
+    n, names = len(parts), [[p] for p in parts]
+    out = []
+    for k, (a, b, h, size) in enumerate(tree):
+        left, right = names[int(a)], names[int(b)]
+        names.append(left + right)
+        out.append((k, ",".join(left), ",".join(right), float(h), int(size)))
+    return out
+
+
+def density(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
+    """(bin, x, density): a histogram for a drawing, as shares per unit, over the range of the finite values."""
+    v = F.col(value)
+    good = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
+    edge = good.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"))
+    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0))
+    rows = good.select(v.alias("v")).crossJoin(F.broadcast(edge)).select(F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).alias("bin"), "lo", width.alias("w"), "n")
+    return rows.groupBy("bin").agg((F.first("lo") + (F.col("bin") + 0.5) * F.first("w")).alias("x"), (F.count("*") / F.first("n") / F.first("w")).alias("density"))
+
+
 def lithogenic_elements(background: DataFrame, parts: list[str], least: float = 0.5) -> DataFrame:
     """(part, n): how often each part is in a pair correlated beyond ``least``, most often first."""
     strong = clr_spearman(background, parts).where(F.abs("rho") > least)
@@ -249,41 +284,57 @@ def histogram(df: DataFrame, value: str, bins: int = 4000) -> list[tuple[float,
     return [(r["m"], r["n"]) for r in rows]
 
 
-def population_split(df: DataFrame, value: str) -> dict:
-    """One or two normal populations by BIC; of two, the antimode between their means.  Deterministic EM on a fine
-    histogram of the values."""
+def population_split(df: DataFrame, value: str, polish: int = 20, tolerance: float = 1e-9) -> dict:
+    """One or two normal populations by BIC; of two, the antimode between their means.
+
+    EM starts on a fine histogram and ends on the values themselves: the last rounds are aggregate passes over all rows,
+    until the mean log likelihood settles (``polish`` passes at most)."""
     h = histogram(df, value)
     if not h:
         return {"bimodal": False}
     x, n = np.array([a for a, _ in h]), np.array([b for _, b in h], float)
     total, mean = n.sum(), (x * n).sum() / n.sum()
-    var = max(((x - mean) ** 2 * n).sum() / total, 1e-12) + 1e-6
-
-    def density(m, v):
-        return np.exp(-((x - m) ** 2) / (2 * v)) / np.sqrt(2 * np.pi * v)
-
-    one = (n * np.log(density(mean, var) + 1e-300)).sum()
+    v = F.col(value)
+    good = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))).select(v.cast("double").alias("x"))
+    # variances carry a small ridge, so that repeated values leave no population without width
+    var = max(float(good.agg(F.var_pop("x")).first()[0] or 0.0), 1e-12) + 1e-6
+    one = -0.5 * total * (math.log(2 * math.pi * var) + (var - 1e-6) / var)
     cum = np.cumsum(n) / total
     m = np.array([x[np.searchsorted(cum, 0.2)], x[min(np.searchsorted(cum, 0.8), len(x) - 1)]])
-    v, w = np.array([var / 4, var / 4]), np.array([0.5, 0.5])
-    two = -np.inf
+    spread, w, two = np.array([var / 4, var / 4]), np.array([0.5, 0.5]), -np.inf
     for _ in range(500):
-        d = np.stack([w[k] * density(m[k], v[k]) for k in (0, 1)])
+        d = np.stack([w[k] * np.exp(-((x - m[k]) ** 2) / (2 * spread[k])) / np.sqrt(2 * np.pi * spread[k]) for k in (0, 1)])
         now = (n * np.log(d.sum(0) + 1e-300)).sum()
         r = d / (d.sum(0) + 1e-300) * n
-        w = r.sum(1) / total
-        m = (r * x).sum(1) / np.maximum(r.sum(1), 1e-12)
-        v = np.stack([(r[k] * (x - m[k]) ** 2).sum() / max(r[k].sum(), 1e-12) for k in (0, 1)]) + 1e-6
+        w, m = r.sum(1) / total, (r * x).sum(1) / np.maximum(r.sum(1), 1e-12)
+        spread = np.stack([(r[k] * (x - m[k]) ** 2).sum() / max(r[k].sum(), 1e-12) for k in (0, 1)]) + 1e-6
         if abs(now - two) < 1e-9 * total:
             break
         two = now
+    two = -np.inf
+    for _ in range(polish):
+        logs = [F.lit(math.log(max(w[k], 1e-300)) - 0.5 * math.log(2 * math.pi * spread[k])) - (F.col("x") - float(m[k])) ** 2 / (2 * float(spread[k])) for k in (0, 1)]
+        top = F.greatest(*logs)
+        each = good.select("x", (top + F.ln(F.exp(logs[0] - top) + F.exp(logs[1] - top))).alias("l"), logs[0].alias("a"))
+        each = each.select("l", F.exp(F.col("a") - F.col("l")).alias("r"), (F.col("x") - float(mean)).alias("y"))
+        r, y = F.col("r"), F.col("y")
+        s = each.agg(F.sum("l").alias("l"), *[F.sum(e).alias(k) for k, e in (("r0", r), ("r1", 1 - r), ("m0", r * y), ("m1", (1 - r) * y), ("q0", r * y * y), ("q1", (1 - r) * y * y))]).first()
+        mass = np.maximum([s["r0"], s["r1"]], 1e-12)
+        near = np.array([s["m0"], s["m1"]]) / mass
+        w, m, spread = mass / total, near + mean, np.maximum(np.array([s["q0"], s["q1"]]) / mass - near**2, 0) + 1e-6
+        if abs(s["l"] - two) < tolerance * total:
+            two = s["l"]
+            break
+        two = s["l"]
     bic1, bic2 = 2 * math.log(total) - 2 * one, 5 * math.log(total) - 2 * two
     out = {"bimodal": bool(bic2 < bic1), "bic1": float(bic1), "bic2": float(bic2)}
     if out["bimodal"]:
         o = np.argsort(m)
-        m, v, w = m[o], v[o], w[o]
-        out |= {"means": m.tolist(), "weights": w.tolist(), "threshold": antimode(m, v, w, float(x.min()), float(x.max()))}
-        out |= {"n_low": int(n[x < out["threshold"]].sum()), "n_high": int(n[x >= out["threshold"]].sum())}
+        m, spread, w = m[o], spread[o], w[o]
+        lo, hi = good.agg(F.min("x"), F.max("x")).first()
+        out |= {"means": m.tolist(), "weights": w.tolist(), "variances": spread.tolist(), "threshold": antimode(m, spread, w, float(lo), float(hi))}
+        low = good.agg(F.count_if(F.col("x") < out["threshold"])).first()[0]
+        out |= {"n_low": int(low), "n_high": int(total) - int(low)}
     return out
 
 

@@ -145,6 +145,12 @@ def top_fraction(df: DataFrame, positive: Column, fraction: float = 0.2, score:
     return out.withColumn("lift", F.try_divide(F.col("hit"), F.col("base")))
 
 
+def summary(df: DataFrame, positive: Column, fraction: float = 0.2, y: str = Y, p: str = P, tie: str = "serial") -> DataFrame:
+    """One row: spearman, auc, k, hit, base, lift."""
+    out = spearman(df, y, p).crossJoin(auc(df, positive, p))
+    return out.crossJoin(top_fraction(df, positive, fraction, p, tie))
+
+
 def site_rollup(df: DataFrame, by: str = "site", y: str = Y, p: str = P) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"), F.avg(y).alias("mean_true"), F.avg(p).alias("mean_pred"))
 
@@ -162,6 +168,11 @@ def group_r2(df: DataFrame, by: str, skip_constant: bool = True, y: str = Y, p:
     return (out.where("v > 0") if skip_constant else out).select(by, "n", "r2")
 
 
+def _number(text: Column) -> Column:
+    """The first 32 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def bootstrap_ci(sites: DataFrame, draws: int = 2000, y: str = "mean_true", p: str = "mean_pred", seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(lo, hi, n) of the correlation of site means over resamples of as many sites as there are, drawn with replacement.
 
@@ -174,7 +185,7 @@ def bootstrap_ci(sites: DataFrame, draws: int = 2000, y: str = "mean_true", p: s
     spark = sites.sparkSession
     taken = spark.range(1, draws + 1).withColumnRenamed("id", "b").repartition(F.col("b")).withColumn("n", total).where("n > 0")
     taken = taken.select("b", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("j"), "n")
-    taken = taken.select("b", (F.pmod(F.xxhash64(F.lit(seed), "b", "j"), F.col("n")) + 1).alias("pick"))
+    taken = taken.select("b", (_number(F.concat_ws(":", F.lit(seed), "b", "j")) % F.col("n") + 1).alias("pick"))
     rows = taken.join(ranked.drop("n"), "pick")
     # the correlation by centred sums: corr() keeps means and co-moments, which do not cancel
     r = rows.groupBy("b").agg(F.corr("y", "p").alias("r")).where("r IS NOT NULL AND NOT isnan(r)")
@@ -217,12 +228,24 @@ def group_folds(sizes: list[tuple], folds: int) -> dict:
 
 
 def with_folds(df: DataFrame, by: str, folds: int | None = None) -> DataFrame:
-    """``df`` with ``fold``: leave one group out, or balanced folds of groups where groups are more."""
-    sizes = [(r[by], r["count"]) for r in df.groupBy(by).count().collect()]
-    chosen = {g: i for i, (g, _) in enumerate(sorted(sizes, key=lambda x: str(x[0])))} if folds is None or folds >= len(sizes) else group_folds(sizes, folds)
-    spark = df.sparkSession
-    table = spark.createDataFrame([(g, k) for g, k in chosen.items()], f"{by} {df.schema[by].dataType.simpleString()}, fold int")
-    return df.join(table, by)
+    """``df`` with ``fold``: leave one group out, or ``folds`` folds of about equal size where groups are more.
+
+    Balancing takes one number for each group to the driver; groups are sites or blocks.  Leaving one out does not."""
+    groups_ = df.groupBy(by).agg(F.count("*").alias("n"))
+    if folds is None or groups_.limit(folds + 1).count() <= folds:
+        table = value_ranks(df, by).select(F.col(by).alias("__by"), "rank")
+        numbered = row_ranks(table, [F.col("__by").cast("string")]).select("__by", (F.col("rn") - 1).cast("int").alias("fold"))
+    else:
+        chosen = group_folds([(r[by], r["n"]) for r in groups_.where(F.col(by).isNotNull()).toLocalIterator()], folds)
+        kind = df.schema[by].dataType.simpleString()
+        numbered = df.sparkSession.createDataFrame([(g, k) for g, k in chosen.items()], f"__by {kind}, fold int")
+    return df.join(numbered, F.col(by) == F.col("__by")).drop("__by")
+
+
+def shuffled_folds(df: DataFrame, folds: int, order: list[Column], stratum: str | None = None) -> DataFrame:
+    """``df`` with ``fold``: rows in a hash order dealt out in turn, within strata if one is named."""
+    ranked = row_ranks(df, order, [stratum] if stratum else None)
+    return ranked.withColumn("fold", ((F.col("rn") - 1) % folds).cast("int")).drop("rn", "n")
 
 
 def stratified_split(df: DataFrame, stratum: str, order: list[Column], test: float = 0.2) -> DataFrame:

@@ -1,7 +1,7 @@
 """Pixel tables: (row, col, bands...) with a small header, and the operators on them.
 
-Windows are built from shifted copies of each pixel and an equality grouping, so a raster of any size is dealt out by
-pixel; running means go along rows and then along columns.
+Windows at points are equality joins on the places around them; medians of all pixels go tile by tile, with a halo;
+running means go along rows and then along columns.  A raster of any size is dealt out by pixel, tile, row or column.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, drop, ship
 from .samples import collapse
 
 
@@ -51,10 +52,13 @@ class Header:
             raise ValueError(f"reference systems differ: {crs} and {self.crs}")
 
 
-def to_pixels(points: DataFrame, grid: Header, x="easting", y="northing", r="r", c="c") -> DataFrame:
-    """Points with the pixel that they fall in; those outside the grid go."""
+def to_pixels(points: DataFrame, grid: Header, x="easting", y="northing", r="r", c="c", require: bool = False) -> DataFrame:
+    """Points with the pixel that they fall in; those outside the grid go.  With ``require`` it is an error if all do."""
     out = points.withColumns({r: grid.row(F.col(y)), c: grid.col(F.col(x))})
-    return out.where(F.col(r).between(0, grid.height - 1) & F.col(c).between(0, grid.width - 1))
+    out = out.where(F.col(r).between(0, grid.height - 1) & F.col(c).between(0, grid.width - 1))
+    if require and out.isEmpty():
+        raise ValueError("no point lies inside the raster")
+    return out
 
 
 def sample_at(points: DataFrame, pixels: DataFrame, grid: Header, x="easting", y="northing", how="left") -> DataFrame:
@@ -62,6 +66,11 @@ def sample_at(points: DataFrame, pixels: DataFrame, grid: Header, x="easting", y
     return out.join(pixels, ["r", "c"], how)
 
 
+def features_at(points: DataFrame, bands: DataFrame, embeddings: DataFrame, grid: Header, x="easting", y="northing") -> DataFrame:
+    """Points with the bands and the embedding of their pixel, where both are there."""
+    return sample_at(points, bands.join(embeddings, ["r", "c"]), grid, x, y, "inner")
+
+
 def aggregate_pixels(points: DataFrame, parts: list[str], serial="serial", extra=()) -> DataFrame:
     """One row for each pixel: the centre of several samples, or the one sample as it is; named after the first."""
     return collapse(points, parts, ["r", "c"], F.col(serial), [serial, *extra])
@@ -75,12 +84,6 @@ def _offsets(size: int) -> list[int]:
     return list(range(-half, half + 1))
 
 
-def _shifted(pixels: DataFrame, bands: list[str], size: int) -> DataFrame:
-    moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in _offsets(size) for j in _offsets(size)])
-    rows = pixels.select("r", "c", *bands, F.explode(moves).alias("m"))
-    return rows.select((F.col("r") + F.col("m.i")).alias("r"), (F.col("c") + F.col("m.j")).alias("c"), *bands)
-
-
 def window_median_clipped(points: DataFrame, pixels: DataFrame, bands: list[str], size: int, key="serial") -> DataFrame:
     """At each point (with r, c), the median of the pixels around that exist; an even size acts as the next odd one."""
     moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in _offsets(size) for j in _offsets(size)])
@@ -92,20 +95,54 @@ def window_median_clipped(points: DataFrame, pixels: DataFrame, bands: list[str]
     return points.select(key, "r", "c").join(medians.withColumnsRenamed({"pr": "r", "pc": "c"}), ["r", "c"]).select(key, *bands)
 
 
-def median_filter(pixels: DataFrame, bands: list[str], size: int, grid: Header) -> DataFrame:
-    """Median of every pixel's window; places beyond the edge repeat the edge's pixels."""
-    lo, hi = -(size // 2), size - 1 - size // 2
+TILE = 256
 
-    def reach(v: Column, top: int) -> Column:
-        # the pixels whose window holds v; an edge pixel stands for all places beyond it
-        near = F.sequence(F.greatest(v - hi, F.lit(0)), F.least(v - lo, F.lit(top)))
-        times = lambda q: (F.when(v == 0, F.greatest(F.lit(0), F.least(F.lit(0), q + hi) - (q + lo) + 1)).when(v == top, F.greatest(F.lit(0), (q + hi) - F.greatest(F.lit(top), q + lo) + 1)).otherwise(1))
-        full = F.lit(hi - lo + 1) if top == 0 else None
-        return F.flatten(F.transform(near, lambda q: F.array_repeat(q, (full if full is not None else times(q)).cast("int"))))
 
-    rows = pixels.select("*", F.explode(reach(F.col("r"), grid.height - 1)).alias("tr")).select("*", F.explode(reach(F.col("c"), grid.width - 1)).alias("tc"))
-    good = [F.median(F.when(~F.isnan(b), F.col(b))).alias(b) for b in bands]
-    return rows.groupBy(F.col("tr").alias("r"), F.col("tc").alias("c")).agg(*good)
+def median_filter(pixels: DataFrame, bands: list[str], size: int, grid: Header, tile: int = TILE) -> DataFrame:
+    """Median of every pixel's window; places beyond the edge repeat the edge's pixels.
+
+    Pixels are dealt out by tile, and only those near a tile's border go to its neighbours too; NumPy takes the medians
+    of a tile, a few rows at a time.  Pixels without a value in their window are left out."""
+    lo, hi = -(size // 2), size - 1 - size // 2
+
+    def tiles(v: Column, top: int) -> Column:
+        # the tiles whose windows hold v (window places run from lo to hi around their pixel)
+        first, last = F.greatest(v - hi, F.lit(0)), F.least(v - lo, F.lit(top))
+        return F.sequence(F.floor(first / tile), F.floor(last / tile))
+
+    rows = pixels.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), *[F.col(b).cast("double").alias(b) for b in bands])
+    rows = rows.select("*", F.explode(tiles(F.col("r"), grid.height - 1)).alias("tr")).select("*", F.explode(tiles(F.col("c"), grid.width - 1)).alias("tc"))
+    height, width = grid.height, grid.width
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(pdf["tr"].iloc[0]) * tile, int(pdf["tc"].iloc[0]) * tile
+        nr, nc = min(tile, height - r0), min(tile, width - c0)
+        # places of the padded tile; those beyond the raster show its edge
+        at_r, at_c = np.clip(np.arange(r0 + lo, r0 + nr + hi), 0, height - 1), np.clip(np.arange(c0 + lo, c0 + nc + hi), 0, width - 1)
+        base_r, base_c = at_r.min(), at_c.min()
+        shape = (at_r.max() - base_r + 1, at_c.max() - base_c + 1)
+        rr, cc = pdf["r"].to_numpy() - base_r, pdf["c"].to_numpy() - base_c
+        there = np.zeros(shape, bool)
+        there[rr, cc] = True
+        windows = lambda x: np.lib.stride_tricks.sliding_window_view(x[np.ix_(at_r - base_r, at_c - base_c)], (size, size))
+        some = windows(there).any((2, 3))
+        out = {"r": np.repeat(np.arange(r0, r0 + nr), nc)[some.ravel()], "c": np.tile(np.arange(c0, c0 + nc), nr)[some.ravel()]}
+        for b in bands:
+            band = np.full(shape, np.nan)
+            band[rr, cc] = pdf[b].to_numpy(float)
+            view, result = windows(band), np.empty((nr, nc))
+            for k in range(0, nr, 16):
+                part = view[k : k + 16].reshape(-1, nc, size * size)
+                # not a number sorts last: the middle of the others is the median
+                ordered, n = np.sort(part, 2), (~np.isnan(part)).sum(2)
+                pick = lambda i: np.take_along_axis(ordered, np.maximum(i, 0)[..., None], 2)[..., 0]  # noqa: E731, B023
+                result[k : k + 16] = np.where(n > 0, (pick((n - 1) // 2) + pick(n // 2)) / 2, np.nan)
+            out[b] = pd.Series(result.ravel()[some.ravel()]).replace(np.nan, None).astype(object)
+        return pd.DataFrame(out)
+
+    schema = "r int, c int, " + ", ".join(f"`{b}` double" for b in bands)
+    ship(pixels.sparkSession)
+    return rows.groupBy("tr", "tc").applyInPandas(run, schema)
 
 
 def _mirror(v: Column, lo: int, hi: int, top: int) -> Column:
@@ -128,13 +165,19 @@ def box_filter(pixels: DataFrame, bands: list[str], size: int, grid: Header) ->
 
 def pansharpen(pixels: DataFrame, bands: list[str], pan: str, size: int, grid: Header) -> DataFrame:
     """Each band times the ratio of the panchromatic band to its smoothed self, rescaled to keep the band's mean."""
-    smooth = box_filter(pixels, [pan], size, grid).withColumnRenamed(pan, "__smooth")
-    ratio = F.col(pan) / F.when(F.col("__smooth") == 0, F.lit(1e-8)).otherwise(F.col("__smooth"))
-    sharp = pixels.join(smooth, ["r", "c"]).withColumns({f"__{b}": F.col(b) * ratio for b in bands})
+    return sharpen_by(pixels, {b: pan for b in bands}, size, grid)
+
+
+def sharpen_by(pixels: DataFrame, sharpen: dict[str, str], size: int, grid: Header) -> DataFrame:
+    """As ``pansharpen``, each band by a finer one of its own: one smoothing for all of these, one pass for the means."""
+    pans = list(dict.fromkeys(sharpen.values()))
+    smooth = box_filter(pixels, pans, size, grid).withColumnsRenamed({p: f"__s_{p}" for p in pans})
+    ratio = lambda p: F.col(p) / F.when(F.col(f"__s_{p}") == 0, F.lit(1e-8)).otherwise(F.col(f"__s_{p}"))
+    sharp = pixels.join(smooth, ["r", "c"]).withColumns({f"__{b}": F.col(b) * ratio(p) for b, p in sharpen.items()})
     clean = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
-    means = sharp.agg(*[(clean(b) / (clean(f"__{b}") + 1e-8)).alias(f"__k_{b}") for b in bands])
+    means = sharp.agg(*[(clean(b) / (clean(f"__{b}") + 1e-8)).alias(f"__k_{b}") for b in sharpen])
     out = sharp.crossJoin(F.broadcast(means))
-    return out.withColumns({b: F.col(f"__{b}") * F.col(f"__k_{b}") for b in bands}).drop("__smooth", *[f"__{b}" for b in bands], *[f"__k_{b}" for b in bands])
+    return out.withColumns({b: F.col(f"__{b}") * F.col(f"__k_{b}") for b in sharpen}).select(*pixels.columns)
 
 
 def sharpen_swir(pixels: DataFrame, grid: Header, bands=("S2_B11_swir16", "S2_B12_swir22"), pan="SPOT_nir", size: int = 11) -> DataFrame:
@@ -148,9 +191,8 @@ def fuse(fine: DataFrame, fine_grid: Header, coarse: DataFrame, coarse_grid: Hea
     bands = [b for b in coarse.columns if b not in ("r", "c")]
     out = fine.join(resample_bilinear(coarse, bands, coarse_grid, fine_grid), ["r", "c"], "left")
     size = max(math.ceil(coarse_grid.dx / fine_grid.dx), least)
-    for pan in dict.fromkeys(sharpen.values()):
-        out = pansharpen(out, [b for b, p in sharpen.items() if p == pan], pan, size, fine_grid)
-    return out
+    # smoothing, means and result all read the stacked bands: they are written once
+    return sharpen_by(cut(out), sharpen, size, fine_grid) if sharpen else out
 
 
 # --- resampling and masks -------------------------------------------------------------------------------------------
@@ -171,7 +213,11 @@ def resample_bilinear(source: DataFrame, bands: list[str], source_grid: Header,
     """Each target pixel is the weighted mean of the four source centres around its own; missing ones carry no weight."""
     v = (F.lit(source_grid.y0) - grid.y(F.col("r"))) / source_grid.dy - 0.5
     u = (grid.x(F.col("c")) - F.lit(source_grid.x0)) / source_grid.dx - 0.5
-    to = _grid_points(grid, source.sparkSession).withColumns({"v": v, "u": u})
+    return _bilinear(_grid_points(grid, source.sparkSession).withColumns({"v": v, "u": u}), source, bands)
+
+
+def _bilinear(to: DataFrame, source: DataFrame, bands: list[str]) -> DataFrame:
+    """``to`` has target pixels (r, c) and their places (v, u) in the source, in pixels from its first centre."""
     corners = F.array(*[
         F.struct((F.floor("v") + i).cast("int").alias("sr"), (F.floor("u") + j).cast("int").alias("sc"),
                  (F.abs(1 - i - (F.col("v") - F.floor("v"))) * F.abs(1 - j - (F.col("u") - F.floor("u")))).alias("w"))
@@ -250,7 +296,8 @@ def connected(mask: DataFrame, connectivity: int = 4, cls="cls", rounds: int = 6
         # small star: a pixel and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges, old = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()), edges
+        drop(old)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return nodes.join(edges, nodes.id == edges.u, "left").select("r", "c", cls, F.coalesce("v", "id").alias("blob"))
@@ -318,6 +365,8 @@ def reproject_points(df: DataFrame, source: str, target: str, x="easting", y="no
     if source == target:
         return df
 
+    ship(df.sparkSession)
+
     def move(xs: np.ndarray, ys: np.ndarray):
         lon, lat = (xs, ys) if source == "EPSG:4326" else lonlat_from_utm(xs, ys, source)
         return (lon, lat) if target == "EPSG:4326" else utm_from_lonlat(lon, lat, target)
@@ -330,6 +379,27 @@ def reproject_points(df: DataFrame, source: str, target: str, x="easting", y="no
     return df.withColumns({x: F.col(x).cast("double"), y: F.col(y).cast("double")}).mapInPandas(run, df.withColumns({x: F.col(x).cast("double"), y: F.col(y).cast("double")}).schema)
 
 
+def warp_bilinear(source: DataFrame, bands: list[str], source_grid: Header, grid: Header) -> DataFrame:
+    """The source resampled to a grid of any of the reference systems that points can be moved between."""
+    if source_grid.crs == grid.crs:
+        return resample_bilinear(source, bands, source_grid, grid)
+    spots = _grid_points(grid, source.sparkSession).withColumns({"x": grid.x(F.col("c")), "y": grid.y(F.col("r"))})
+    spots = reproject_points(spots, grid.crs, source_grid.crs, "x", "y")
+    return _bilinear(spots.withColumns({"v": (F.lit(source_grid.y0) - F.col("y")) / source_grid.dy - 0.5, "u": (F.col("x") - F.lit(source_grid.x0)) / source_grid.dx - 0.5}), source, bands)
+
+
+def reproject_polygons(polygons: DataFrame, source: str, target: str) -> DataFrame:
+    """Rings moved point by point."""
+    if source == target:
+        return polygons
+    rest = [c for c in polygons.columns if c != "ring"]
+    numbered = polygons.withColumn("__id", F.monotonically_increasing_id())
+    points = numbered.select("__id", *rest, F.posexplode("ring").alias("__k", "p")).select("__id", *rest, "__k", "p.x", "p.y")
+    moved = reproject_points(points, source, target, "x", "y")
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("__k", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return moved.groupBy("__id").agg(*[F.first(c).alias(c) for c in rest], ring.alias("ring")).select(*polygons.columns)
+
+
 def feature_stack(pixels: DataFrame, bands: dict[str, Column], embedding: str | None = None, size: int = 64) -> DataFrame:
     """Bands, guarded indices and embedding bands as floats, for training and prediction alike."""
     from ..functions.indices import guarded_indices
@@ -340,6 +410,17 @@ def feature_stack(pixels: DataFrame, bands: dict[str, Column], embedding: str |
     return pixels.select("r", "c", *own, *[v.alias(k) for k, v in out.items()], *emb)
 
 
+def classify_raster(pixels: DataFrame, predict, features: list[str], kind: str = "int", invalid: int = 0) -> DataFrame:
+    """(r, c, cls): predicted classes, ``invalid`` for pixels with a feature that is missing or not finite.
+
+    ``predict`` takes the valid rows and adds a ``prediction``."""
+    from .samples import all_finite
+
+    ok = F.coalesce(all_finite(features), F.lit(False))
+    good = predict(pixels.where(ok)).select("r", "c", F.col("prediction").cast(kind).alias("cls"))
+    return good.unionByName(pixels.where(~ok).select("r", "c", F.lit(invalid).cast(kind).alias("cls")))
+
+
 def finite_range(df: DataFrame, columns: list[str]) -> DataFrame:
     """(index, lo, hi) of finite values."""
     good = {c: F.when(~F.isnan(c) & (F.abs(c) < F.lit(math.inf)), F.col(c)) for c in columns}

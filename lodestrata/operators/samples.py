@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import coda
+from .lineage import cut
 
 BACKGROUND = ("BACKGROUND", "Background", "B")
 _FLAGS = {"is_imputed", "is_outlier"}
@@ -126,6 +127,38 @@ def within(left: DataFrame, right: DataFrame, radius: float, left_xy: tuple[str,
     return a.join(b, (F.col("__cell") == F.col("__cell_r")) & near).drop("__cell", "__cell_r")
 
 
+def means_within(spots: DataFrame, key: str, points: DataFrame, values: list[str], radius: float, spot_xy: tuple[str, str], point_xy: tuple[str, str], split: int = 8) -> DataFrame:
+    """(key, values...): means of the points at most ``radius`` from each spot; spots without any are missing.
+
+    Points are summed once for each cell of ``radius / split``.  Cells that lie wholly inside a spot's circle give their
+    sums; only points of cells that its border crosses are met one by one, so pairs grow with the border of the circle
+    and not with its area."""
+    cell = float(radius) / split if radius > 0 else 1.0
+    (sx, sy), (px, py) = (tuple(F.col(c) for c in xy) for xy in (spot_xy, point_xy))
+    dealt = points.select(F.floor(px / cell).alias("__i"), F.floor(py / cell).alias("__j"), px.alias("__px"), py.alias("__py"), *values)
+    totals = dealt.groupBy("__i", "__j").agg(*[F.sum(v).alias(v) for v in values], F.count("*").alias("__n"))
+    reach = F.sequence(F.lit(-split - 1), F.lit(split + 1))
+    around = spots.select(F.col(key), sx.alias("__sx"), sy.alias("__sy"), F.explode(reach).alias("__a")).select("*", F.explode(reach).alias("__b"))
+    around = around.withColumns({"__i": F.floor(F.col("__sx") / cell) + F.col("__a"), "__j": F.floor(F.col("__sy") / cell) + F.col("__b")})
+
+    def gaps(at: str, number: str) -> tuple[Column, Column]:
+        """The least and the largest distance along one axis from a spot to a cell."""
+        low, high = F.col(number) * cell - F.col(at), (F.col(number) + 1) * cell - F.col(at)
+        return F.greatest(F.lit(0.0), low, -high), F.greatest(F.abs(low), F.abs(high))
+
+    (x0, x1), (y0, y1) = gaps("__sx", "__i"), gaps("__sy", "__j")
+    # a hair's breadth to either side of the circle counts as border, where points are measured exactly
+    around = around.withColumns({"__near": F.sqrt(x0 * x0 + y0 * y0), "__far": F.sqrt(x1 * x1 + y1 * y1)})
+    around = around.where(F.col("__near") <= radius * (1 + 1e-9) + 1e-9)
+    whole = F.col("__far") <= radius * (1 - 1e-9) - 1e-9
+    inside = around.where(whole).join(totals, ["__i", "__j"]).select(key, *values, "__n")
+    dx, dy = F.col("__sx") - F.col("__px"), F.col("__sy") - F.col("__py")
+    border = around.where(~whole).join(dealt, ["__i", "__j"]).where(F.sqrt(dx * dx + dy * dy) <= radius)
+    border = border.select(key, *values, F.lit(1).cast("bigint").alias("__n"))
+    sums = inside.unionByName(border).groupBy(key).agg(*[F.sum(v).alias(v) for v in values], F.sum("__n").alias("__n"))
+    return sums.select(key, *[(F.col(v) / F.col("__n")).alias(v) for v in values])
+
+
 def site_centroids(df: DataFrame, site="site", x="easting", y="northing") -> DataFrame:
     return df.groupBy(site).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"))
 
@@ -140,22 +173,23 @@ def remove_background(df: DataFrame, parts: list[str], buffer: float | None = 50
     fixed = coda.multiplicative_replacement(parts)
     # logarithms of closed background rows are taken once, before rows meet sites
     logs = [F.ln(c).alias(f"b_{p}") for c, p in zip(coda.closure(fixed), parts)]
+    names = [f"b_{p}" for p in parts]
     bg = df.where(is_background(kind)).select(F.col(x).alias("bx"), F.col(y).alias("by"), *logs)
-    means = [F.exp(F.avg(f"b_{p}")).alias(f"b_{p}") for p in parts]
-    sites = df.where(F.col(site).isNotNull()).where(~is_background(kind)).select(site).distinct()
-    keys = df.join(sites, site, "left_semi")
+    # one row for each site: what follows is written, so that the optimizer knows its size before it plans the join
+    seen = df.where(F.col(site).isNotNull()).groupBy(F.col(site).alias("__site")).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.bool_or(~is_background(kind)).alias("__own"))
+    spots = seen.where("__own")
     if buffer is None:
-        mid = bg.agg(*means)
-        centers = sites.crossJoin(F.broadcast(mid))
+        centers = spots.select("__site").crossJoin(F.broadcast(bg.agg(*[F.avg(n).alias(n) for n in names])))
     else:
-        spots = site_centroids(keys, site, x, y)
-        near = within(spots, bg, buffer, ("cx", "cy"), ("bx", "by"))
-        centers = near.groupBy(site).agg(*means)
-    joined = keys.join(centers, site, "left")
-    moved = coda.perturb_difference(fixed, [f"b_{p}" for p in parts])
-    there = F.col(f"b_{parts[0]}").isNotNull()
+        spots = cut(spots)
+        near = means_within(spots, "__site", bg, names, buffer, ("cx", "cy"), ("bx", "by"))
+        centers = spots.select("__site").join(near, "__site", "left")
+    centers = cut(centers.select("__site", *[F.exp(n).alias(n) for n in names]))
+    joined = df.join(centers, F.col(site) == F.col("__site")).drop("__site")
+    moved = coda.perturb_difference(fixed, names)
+    there = F.col(names[0]).isNotNull()
     out = {p: F.when(there, m).otherwise(F.col(p)) for p, m in zip(parts, moved)}
-    return joined.withColumns(out | {"corrected": there}).drop(*[f"b_{p}" for p in parts])
+    return joined.withColumns(out | {"corrected": there}).drop(*names)
 
 
 # --- collapse and alignment -----------------------------------------------------------------------------------------
@@ -190,6 +224,43 @@ def align(training: DataFrame, validation: DataFrame, mode: str = "validation")
     return reduced(training), reduced(validation), shared
 
 
+def align_for_validation(training: DataFrame, validation: DataFrame, kind: str = "type", places=("Easting", "Northing", "Longitude", "Latitude"), columns: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Validation rows aligned to the training parts, with the training background attached as its reference.
+
+    Coordinates that the validation lacks are null.  Shared parts are replaced and closed over all rows of the result;
+    ``origin`` tells validation rows from attached ones."""
+    training, validation, shared = align(training, validation)
+    keep = [c for c in (*columns, kind, *places) if c in training.columns or c in validation.columns]
+
+    def shaped(df: DataFrame, origin: str) -> DataFrame:
+        have = {c.lower(): c for c in df.columns}
+        other = {f.name.lower(): f.dataType for f in (*training.schema, *validation.schema)}
+        own = [F.col(have[c.lower()]).alias(c) if c.lower() in have else F.lit(None).cast(other[c.lower()]).alias(c) for c in keep]
+        return df.select(*own, *shared, F.lit(origin).alias("origin"))
+
+    rows = shaped(validation, "validation").unionByName(shaped(training.where(is_background(kind)), "training"))
+    return rows, shared
+
+
+def attach(df: DataFrame, meta: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows with columns of the meta row of their key (null without one)."""
+    return df.join(meta.select(key, *columns), key, "left")
+
+
+def require_rows(df: DataFrame, least: int, what: str) -> DataFrame:
+    n = df.limit(least).count()
+    if n < least:
+        raise ValueError(f"{what}: {n} rows, at least {least} are needed")
+    return df
+
+
+def require_columns(df: DataFrame, names: list[str], what: str) -> DataFrame:
+    absent = [n for n in names if n not in df.columns]
+    if absent:
+        raise ValueError(f"{what}: no column {', '.join(absent)}")
+    return df
+
+
 def upsert(existing: DataFrame | None, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` in place of existing ones with equal keys (as texts); columns are united.  Keys that the existing frame
     lacks are ignored."""

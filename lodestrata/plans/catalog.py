@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Callable
 
@@ -10,8 +11,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import coda, indices
+from ..functions import coda, indices, text
 from ..operators import groups, learning, metrics, raster, samples
+from ..operators.lineage import scratch
+from ..sources import geotiff, readers, writers
 from . import fixtures
 from .fixtures import PARTS
 
@@ -27,7 +30,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"{WITH} {sql}" if sql.lstrip().startswith("SELECT") else f"{WITH}, {sql.lstrip()}"
+            ORACLES[f.__name__] = WITH.replace("WITH", "WITH RECURSIVE", 1) + ", " + sql.removeprefix("RECURSIVE ") if sql.startswith("RECURSIVE ") else f"{WITH} {sql}" if sql.lstrip().startswith("SELECT") else f"{WITH}, {sql.lstrip()}"
         return f
 
     return add
@@ -554,9 +557,142 @@ def sieve(spark, sf):
     return raster.sieve(fixtures.pixels(spark, sf).select("r", "c", "cls"), 4)
 
 
-@query()
+def _as_float(e: str, name: str) -> str:
+    return f"round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 4) + 0.0 AS {name}"
+
+
+_STACK = _GUARDED | {"MSAVI": "(2 * nir + 1 - sqrt(greatest((2 * nir + 1) * (2 * nir + 1) - 8 * (nir - red), 0))) / 2"}
+_STACK_SQL = ", ".join([_as_float(b, b) for b in _BANDS] + [_as_float(e, n) for n, e in _STACK.items()] + [_as_float(f"emb[{i + 1}]", f"Emb_A{i:02d}") for i in range(64)])
+
+
+def _stacked(spark, sf):
+    return raster.feature_stack(fixtures.pixels(spark, sf).select("r", "c", *_BANDS, "emb"), _bands(), "emb")
+
+
+def _r4(df: DataFrame) -> DataFrame:
+    rest = [c for c in df.columns if c not in ("r", "c")]
+    return df.select("r", "c", *r6(4, **{c: F.col(c).cast("double") for c in rest}))
+
+
+@query(f"SELECT r, c, {_STACK_SQL} FROM pixels")
 def feature_stack(spark, sf):
-    return raster.feature_stack(fixtures.pixels(spark, sf).select("r", "c", *_BANDS, "emb"), _bands(), "emb", 4)
+    return _r4(_stacked(spark, sf))
+
+
+@query(f"SELECT r, c, {_STACK_SQL} FROM pixels")
+def feature_stack_sink(spark, sf):
+    path = scratch(spark, "stack")
+    writers.feature_stack(fixtures.pixels(spark, sf).select("r", "c", *_BANDS, "emb"), path, _bands(), "emb", tile=16)
+    return _r4(spark.read.parquet(path).drop("tile_r", "tile_c"))
+
+
+# fusion in SQL: a fine grid of k x k pixels for each coarse one, coarse bands bilinear, then a ratio to a moving mean
+def _fusion(k: int, fine: dict[str, str], coarse: dict[str, str], sharpen: dict[str, str], size: int) -> str:
+    lo, hi = -(size // 2), size - 1 - size // 2
+    at = lambda v, top: f"CASE WHEN {v} < 0 THEN -({v}) - 1 WHEN {v} >= {top} THEN 2 * {top} - 1 - ({v}) ELSE {v} END"
+    steps = [
+        f"h AS (SELECT max(r) + 1 AS h FROM pixels), t AS (SELECT i // {25 * k} AS r, i % {25 * k} AS c FROM h, range(h * {25 * k * k}) g(i))",
+        f"fine AS (SELECT t.r, t.c, {', '.join(f'{e} AS {n}' for n, e in fine.items())} FROM t JOIN pixels p ON p.r = t.r // {k} AND p.c = t.c // {k})",
+        f"vu AS (SELECT r, c, (r + 0.5) / {k}::DOUBLE - 0.5 AS v, (c + 0.5) / {k}::DOUBLE - 0.5 AS u FROM t)",
+        "kk AS (SELECT r, c, CAST(floor(v) + i AS INT) AS sr, CAST(floor(u) + j AS INT) AS sc, abs(1 - i - (v - floor(v))) * abs(1 - j - (u - floor(u))) AS w FROM vu, range(2) a(i), range(2) b(j))",
+        f"wide AS (SELECT kk.r, kk.c, {', '.join(f'sum(w * ({e})) / sum(w) AS {n}' for n, e in coarse.items())} FROM kk JOIN pixels p ON p.r = sr AND p.c = sc WHERE w > 0 GROUP BY kk.r, kk.c)",
+        f"o AS (SELECT i + ({lo}) AS i, j + ({lo}) AS j FROM range({size}) a(i), range({size}) b(j))",
+        f"box AS (SELECT q.r, q.c, {', '.join(f'avg(f.{p}) AS {p}' for p in dict.fromkeys(sharpen.values()))} FROM t q, o, h JOIN fine f ON f.r = {at('q.r + i', f'(h * {k})')} AND f.c = {at('q.c + j', str(25 * k))} GROUP BY q.r, q.c)",
+        f"raw AS (SELECT fine.*, {', '.join(f'wide.{n} * (fine.{sharpen[n]} / CASE WHEN box.{sharpen[n]} = 0 THEN 1e-8 ELSE box.{sharpen[n]} END) AS {n}, wide.{n} AS was_{n}' if n in sharpen else f'wide.{n}' for n in coarse)} FROM fine JOIN wide USING (r, c) JOIN box USING (r, c))",
+        f"m AS (SELECT {', '.join(f'avg(was_{n}) / (avg({n}) + 1e-8) AS {n}' for n in sharpen)} FROM raw)",
+    ]
+    out = [s6(f"raw.{n}", n) for n in fine] + [s6(f"raw.{n} * m.{n}" if n in sharpen else f"raw.{n}", n) for n in coarse]
+    return f"{', '.join(steps)} SELECT CAST(raw.r AS INT) AS r, CAST(raw.c AS INT) AS c, {', '.join(out)} FROM raw, m"
+
+
+def _fused(spark, sf, k: int, fine: dict[str, Column], coarse: dict[str, Column], sharpen: dict[str, str], least: int):
+    px = fixtures.pixels(spark, sf)
+    grid = _grid(px)
+    small = raster.Header(0, 5000, 200 / k, grid.dy / k, grid.height * k, 25 * k)
+    near = raster.resample_nearest(px.select("r", "c", *[v.alias(n) for n, v in fine.items()]), list(fine), grid, small)
+    out = raster.fuse(near, small, px.select("r", "c", *[v.alias(n) for n, v in coarse.items()]), grid, sharpen, least)
+    return out.select("r", "c", *r6(**{n: F.col(n) for n in (*fine, *coarse)}))
+
+
+_unit = lambda i: (F.get("emb", F.lit(i)).cast("double") + 1) / 2
+_unit_sql = lambda i: f"(CAST(emb[{i + 1}] AS DOUBLE) + 1) / 2"
+_S2 = ["B2_blue", "B3_green", "B4_red", "B5_rededge1", "B6_rededge2", "B7_rededge3", "B8_nir", "B8A_nir08", "B11_swir16", "B12_swir22"]
+_PAN = dict(zip([f"S2_{b}" for b in _S2[:8]], ["SPOT_blue", "SPOT_green", "SPOT_red", "SPOT_red", "SPOT_nir", "SPOT_nir", "SPOT_nir", "SPOT_nir"]))
+_SPOT = {"SPOT_red": "red", "SPOT_green": "green", "SPOT_blue": "blue", "SPOT_nir": "nir"}
+
+
+@query(_fusion(2, {n: f"({b} + 1) / 2" for n, b in _SPOT.items()}, {f"S2_{b}": _unit_sql(i + 12) for i, b in enumerate(_S2)}, _PAN, 2))
+def fuse_spot_sentinel(spark, sf):
+    """Four fine and ten coarse bands, eight of them sharpened."""
+    return _fused(spark, sf, 2, {n: (F.col(b) + 1) / 2 for n, b in _SPOT.items()}, {f"S2_{b}": _unit(i + 12) for i, b in enumerate(_S2)}, _PAN, 2)
+
+
+_DRAG = [f"Drag_{i:02d}" for i in range(23)]
+_REF = {"S2_red": "Drag_05", "S2_green": "Drag_03", "S2_nir": "Drag_20", "S2_swir": "Drag_22"}
+
+
+@query(_fusion(3, {n: _unit_sql(i) for i, n in enumerate(_DRAG)}, {n: _unit_sql(i + 40) for i, n in enumerate(_REF)}, _REF, 3))
+def fuse_hyperspectral(spark, sf):
+    """Twenty-three fine and four coarse bands, each sharpened by the fine band next to it."""
+    return _fused(spark, sf, 3, {n: _unit(i) for i, n in enumerate(_DRAG)}, {n: _unit(i + 40) for i, n in enumerate(_REF)}, _REF, 1)
+
+
+_SWIR = ("S2_B11_swir16", "S2_B12_swir22")
+_BOX11 = _BOXP.replace("range(3) a(i), range(3) b(j)", "range(11) a(i), range(11) b(j)").replace("i - 1 AS i, j - 1 AS j", "i - 5 AS i, j - 5 AS j")
+
+
+@query(f"{_BOX11}, x AS (SELECT r, c, {', '.join(f'({b} + 1) / 2 AS a{i}, ({b} + 1) / 2 * ((nir + 1) / 2) / smooth AS b{i}' for i, b in enumerate(('swir1', 'swir2')))} FROM pixels JOIN box USING (r, c)) SELECT r, c, {', '.join(s6(f'b{i} * (SELECT avg(a{i}) / (avg(b{i}) + 1e-8) FROM x)', n) for i, n in enumerate(_SWIR))} FROM x")
+def sharpen_swir(spark, sf):
+    px = fixtures.pixels(spark, sf)
+    named = px.select("r", "c", *[((F.col(b) + 1) / 2).alias(n) for b, n in (("nir", "SPOT_nir"), ("swir1", _SWIR[0]), ("swir2", _SWIR[1]))])
+    return raster.sharpen_swir(named, _grid(px)).select("r", "c", *r6(**{n: F.col(n) for n in _SWIR}))
+
+
+@query(f"t AS (SELECT i // 30 AS r, i % 30 AS c FROM range(900) g(i)), q AS (SELECT r, c, CAST(floor((r + 0.5) * (5000.0::DOUBLE / {_H}) / (5000.0::DOUBLE / 30)) AS INT) AS mr, CAST(floor((c + 0.5) * 200 / (5000.0::DOUBLE / 30)) AS INT) AS mc, nir FROM pixels), m AS (SELECT r, c, CASE WHEN (r + c) % 3 = 0 THEN 1 ELSE 2 END AS cls FROM t) SELECT q.r, q.c, {s6('CASE WHEN m.cls = 1 THEN nir END', 'nir')} FROM q LEFT JOIN m ON m.r = mr AND m.c = mc")
+def mask_other_grid(spark, sf):
+    px = fixtures.pixels(spark, sf)
+    other = raster.Header(0, 5000, 5000 / 30, 5000 / 30, 30, 30)
+    mask = spark.range(900).select(F.expr("CAST(id DIV 30 AS INT)").alias("r"), F.expr("CAST(id % 30 AS INT)").alias("c"), F.expr("CASE WHEN (id DIV 30 + id % 30) % 3 = 0 THEN 1 ELSE 2 END").alias("cls"))
+    moved = raster.mask_on_grid(mask, other, _grid(px))
+    return raster.apply_mask(px.select("r", "c", "nir"), moved, ["nir"]).select("r", "c", *r6(nir=F.col("nir")))
+
+
+@query(f"SELECT s.serial, {s6('p.nir', 'nir')}, round(list_sum(list_transform(p.emb, lambda x: CAST(x AS DOUBLE))), 4) + 0.0 AS emb_sum FROM samples s JOIN pixels p ON p.r = CAST(floor((5000 - northing) / (5000.0::DOUBLE / {_H})) AS INT) AND p.c = CAST(floor(easting / 200) AS INT)")
+def chem_bands_embeddings(spark, sf):
+    px = fixtures.pixels(spark, sf)
+    out = raster.features_at(fixtures.samples(spark, sf), px.select("r", "c", *_BANDS), px.select("r", "c", "emb"), _grid(px))
+    total = F.aggregate("emb", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return out.select("serial", *r6(nir=F.col("nir")), (F.round(total, 4) + F.lit(0.0)).alias("emb_sum"))
+
+
+@query("SELECT serial, s.site, n.kinds FROM (SELECT serial, site FROM samples WHERE p > 0.03) s LEFT JOIN (SELECT site, count(DISTINCT type) AS kinds FROM samples WHERE type <> 'Background' GROUP BY site) n USING (site)")
+def sample_meta(spark, sf):
+    df = fixtures.samples(spark, sf)
+    meta = df.where(~samples.is_background()).groupBy("site").agg(F.countDistinct("type").alias("kinds"))
+    return samples.attach(df.where("p > 0.03").select("serial", "site"), meta, "site", ["kinds"]).select("serial", "site", "kinds")
+
+
+@query("SELECT r, c, CASE WHEN blue < 0 THEN 0 WHEN nir > red THEN 1 ELSE 2 END AS cls FROM pixels")
+def classify_raster(spark, sf):
+    px = fixtures.pixels(spark, sf).select("r", "c", F.when(F.col("blue") >= 0, F.col("blue")).alias("blue"), "red", "nir")
+    return raster.classify_raster(px, lambda ok: ok.withColumn("prediction", F.when(F.col("nir") > F.col("red"), 1).otherwise(2)), ["blue", "red", "nir"])
+
+
+@query(f"SELECT r, c, {s6('(blue + green + red + nir) / 4', 'y_pred')}, {s6('greatest(blue, green, red, nir) - least(blue, green, red, nir)', 'uncertainty')} FROM pixels")
+def score_quantiles(spark, sf):
+    px = fixtures.pixels(spark, sf).select("r", "c", "blue", "green", "red", "nir")
+    out = learning.score_quantiles(px, learning.RowSpread, ["blue", "green", "red", "nir"])
+    return out.select("r", "c", *r6(y_pred=F.col("y_pred"), uncertainty=F.col("uncertainty")))
+
+
+@query(f"px AS (SELECT r, c, {', '.join(f'({b} + 1) / 2 AS {b}' for b in _BANDS)} FROM pixels) SELECT r, c, {', '.join(s6(e, n) for n, e in _PLAIN.items())} FROM px")
+def index_gating(spark, sf):
+    """Indices by a sensor's table of bands, found by a prefix of its name; an unknown sensor gets none."""
+    names = indices.sensor_bands("fused_spot_s2_2024")
+    own = {n: (F.col({"nir_narrow": "nir"}.get(role, role)) + 1) / 2 for role, n in names.items()}
+    px = fixtures.pixels(spark, sf).select("r", "c", *[v.alias(n) for n, v in own.items()])
+    out = indices.with_indices(indices.with_indices(px, "another sensor"), "fused_spot_s2_2024")
+    return out.select("r", "c", *r6(**{n: F.col(n) for n in _PLAIN}))
 
 
 @query()
@@ -568,7 +704,7 @@ def fuse_rasters(spark, sf):
     return raster.fuse(pan, fine, px.select("r", "c", ((F.col("nir") + 1) / 2).alias("S2_nir")), coarse, {"S2_nir": "SPOT_red"})
 
 
-@query()
+@query("SELECT serial, easting + 400000 AS easting, northing + 2500000 AS northing FROM samples")
 def utm_round_trip(spark, sf):
     df = fixtures.samples(spark, sf).select("serial", (F.col("easting") + 400000).alias("easting"), (F.col("northing") + 2500000).alias("northing"))
     out = raster.reproject_points(df, "EPSG:32640", "EPSG:32639")
@@ -687,14 +823,228 @@ def stratified_split(spark, sf):
     return metrics.stratified_split(df, "type", [F.expr("(serial * 7919) % 10007"), F.col("serial")])
 
 
-@query()
+@query("""RECURSIVE z AS (SELECT row_number() OVER (ORDER BY n DESC, site) AS k, n FROM (SELECT site, count(*) AS n FROM samples GROUP BY site)),
+g AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load UNION ALL
+      SELECT z.k, list_transform(range(1, 6), lambda i: load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN z.n ELSE 0 END) FROM g JOIN z ON z.k = g.k + 1)
+SELECT CAST(i - 1 AS INT) AS fold, load[i] AS n FROM g, range(1, 6) t(i) WHERE k = (SELECT max(k) FROM z)""")
 def groupkfold_sizes(spark, sf):
     return metrics.with_folds(fixtures.samples(spark, sf).select("serial", "site"), "site", 5).groupBy("fold").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""s AS (SELECT row_number() OVER (ORDER BY site) AS pick, avg(y_true) AS y, avg(y_pred) AS p FROM pairs GROUP BY site), m AS (SELECT count(*) AS n FROM s),
+t AS (SELECT b, CAST('0x' || substr(md5(concat('42:', b, ':', j)), 1, 8) AS BIGINT) % n + 1 AS pick FROM m, range(1, 2001) x(b), range(1, n + 1) z(j)),
+r AS (SELECT corr(y, p) AS r FROM t JOIN s USING (pick) GROUP BY b)
+SELECT {s6('quantile_cont(r, 0.025)', 'lo')}, {s6('quantile_cont(r, 0.975)', 'hi')}, count(*) AS n FROM r WHERE isfinite(r)""")
 def bootstrap_ci(spark, sf):
-    return metrics.bootstrap_ci(metrics.site_rollup(fixtures.pairs(spark, sf)), 500)
+    out = metrics.bootstrap_ci(metrics.site_rollup(fixtures.pairs(spark, sf)).select("site", "mean_true", "mean_pred"))
+    return out.select(*r6(lo=F.col("lo"), hi=F.col("hi")), "n")
+
+
+_NUM = "(serial * 7919) % 10007"
+
+
+@query(f"SELECT serial, CAST((row_number() OVER (ORDER BY {_NUM}, serial) - 1) % 5 AS INT) AS fold FROM pairs")
+def kfold_shuffled(spark, sf):
+    return metrics.shuffled_folds(fixtures.pairs(spark, sf), 5, [F.expr(_NUM), F.col("serial")]).select("serial", "fold")
+
+
+@query(f"SELECT serial, type, CAST((row_number() OVER (PARTITION BY type ORDER BY {_NUM}, serial) - 1) % 3 AS INT) AS fold FROM pairs")
+def kfold_stratified(spark, sf):
+    return metrics.shuffled_folds(fixtures.pairs(spark, sf), 3, [F.expr(_NUM), F.col("serial")], "type").select("serial", "type", "fold")
+
+
+@query(f"""q AS (SELECT y_true > 0 AS pos, {_RANKED}, row_number() OVER (ORDER BY y_pred DESC, serial) AS rn, greatest(1, CAST(round_even(count(*) OVER () * 0.2, 0) AS BIGINT)) AS k FROM pairs)
+SELECT {s6('corr(y_true, y_pred)', 'spearman')}, {s6('(sum(y_pred) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / (count(*) FILTER (pos) * CAST(count(*) FILTER (NOT pos) AS DOUBLE))', 'auc')}, max(k) AS k,
+{s6('avg(CAST(pos AS DOUBLE)) FILTER (rn <= k)', 'hit')}, {s6('avg(CAST(pos AS DOUBLE))', 'base')}, {s6('avg(CAST(pos AS DOUBLE)) FILTER (rn <= k) / avg(CAST(pos AS DOUBLE))', 'lift')} FROM q""")
+def summary_table(spark, sf):
+    out = metrics.summary(fixtures.pairs(spark, sf), F.col("y_true") > 0)
+    return out.select("k", *r6(**{c: F.col(c) for c in ("spearman", "auc", "hit", "base", "lift")}))
+
+
+@query(f"""e AS (SELECT min(y_true) AS lo, max(y_true) AS hi, count(*) AS n FROM pairs), b AS (SELECT least(CAST(floor((y_true - lo) / ((hi - lo) / 50)) AS BIGINT), 49) AS bin, lo, (hi - lo) / 50 AS w, n FROM pairs, e)
+SELECT bin, {s6('any_value(lo) + (bin + 0.5) * any_value(w)', 'x')}, {s6('count(*) / CAST(any_value(n) AS DOUBLE) / any_value(w)', 'density')} FROM b GROUP BY bin""")
+def density_table(spark, sf):
+    return groups.density(fixtures.pairs(spark, sf), "y_true").select("bin", *r6(x=F.col("x"), density=F.col("density")))
+
+
+# --- sources and sinks: written, read again, and held against the table they came from ------------------------------------
+
+
+@query(f"SELECT site, {s6('avg(easting)', 'x')}, {s6('avg(northing)', 'y')}, count(*) AS n FROM samples GROUP BY site")
+def geojson_scan(spark, sf):
+    path = scratch(spark, "geojson")
+    sites = fixtures.samples(spark, sf).groupBy("site").agg(F.avg("easting").alias("px"), F.avg("northing").alias("py"), F.count("*").alias("n"))
+    writers.geojson(sites, path, "px", "py")
+    return readers.geojson(spark, path).select("site", *r6(x=F.col("x"), y=F.col("y")), "n")
+
+
+@query("SELECT r, c, round(CAST(CAST(nir AS FLOAT) AS DOUBLE), 6) + 0.0 AS nir, round(CAST(CAST(red AS FLOAT) AS DOUBLE), 6) + 0.0 AS red FROM pixels")
+def geotiff_round_trip(spark, sf):
+    path = scratch(spark, "geotiff").removeprefix("file://")
+    px = fixtures.pixels(spark, sf)
+    tiles = geotiff.write(px.select("r", "c", "nir", "red"), path, _grid(px), ["nir", "red"])
+    out = geotiff.read(spark, tiles.first()["path"], ["nir", "red"])
+    return out.select("r", "c", *r6(nir=F.col("nir"), red=F.col("red")))
+
+
+@query("SELECT r, c, r // 8 AS tile_r, c // 8 AS tile_c, " + s6("nir", "nir") + " FROM pixels")
+def tiles_sink(spark, sf):
+    path = scratch(spark, "tiles")
+    writers.tiles(fixtures.pixels(spark, sf).select("r", "c", "nir"), path, 8)
+    return spark.read.parquet(path).select("r", "c", "tile_r", "tile_c", *r6(nir=F.col("nir")))
+
+
+@query("SELECT r, c, r // 1024 AS block, round(CAST(CAST(nir AS FLOAT) AS DOUBLE), 6) + 0.0 AS pred, round(CAST(CAST(red * red AS FLOAT) AS DOUBLE), 6) + 0.0 AS uncertainty FROM pixels")
+def prediction_sink(spark, sf):
+    path = scratch(spark, "prediction")
+    writers.prediction(fixtures.pixels(spark, sf).select("r", "c", F.col("nir").alias("pred"), (F.col("red") * F.col("red")).alias("uncertainty")), path, ["pred", "uncertainty"])
+    out = spark.read.parquet(path)
+    return out.select("r", "c", "block", *r6(**{c: F.col(c).cast("double") for c in ("pred", "uncertainty")}))
+
+
+@query("SELECT r, c, r // 4 AS block, cls FROM pixels WHERE cls <> 0")
+def mask_sink(spark, sf):
+    path = scratch(spark, "mask")
+    writers.row_blocks(fixtures.pixels(spark, sf).where("cls <> 0").select("r", "c", "cls"), path, 4)
+    return spark.read.parquet(path).select("r", "c", "block", "cls")
+
+
+_RATIOS = {"NDVI": _GUARDED["NDVI"], "BSI": _GUARDED["BSI"]}
+
+
+@query(f"v AS ({' UNION ALL '.join(f"SELECT '{n}' AS index, r, c, CAST(CAST({e} AS FLOAT) AS DOUBLE) AS value FROM pixels" for n, e in _RATIOS.items())}) SELECT index, r, c, round(value, 5) + 0.0 AS value FROM v")
+def index_sink(spark, sf):
+    path = scratch(spark, "indices")
+    own = indices.guarded_indices(_bands())
+    writers.indices(fixtures.pixels(spark, sf).select("r", "c", *[own[n].alias(n) for n in _RATIOS]), path, list(_RATIOS))
+    return spark.read.parquet(path).select("index", "r", "c", *r6(5, value=F.col("value").cast("double")))
+
+
+@query("SELECT site, CAST(count(*) AS VARCHAR) AS n FROM samples GROUP BY site")
+def metrics_csv(spark, sf):
+    path = scratch(spark, "metrics")
+    if readers.metrics_or_none(spark, path) is not None:
+        raise ValueError("a new path holds metrics")
+    writers.metrics_csv(fixtures.samples(spark, sf).groupBy("site").agg(F.count("*").alias("n")), path)
+    return readers.metrics_or_none(spark, path)
+
+
+@query("SELECT count(*) AS rows, 'ridge' AS model, '2024-05-01T00:00:00' AS at FROM samples")
+def run_metadata(spark, sf):
+    path = scratch(spark, "run")
+    writers.run_metadata(spark, path, {"model": "ridge", "rows": fixtures.samples(spark, sf).count(), "at": "2024-05-01T00:00:00"})
+    return spark.read.text(path).select(F.from_json("value", "rows bigint, model string, at string").alias("x")).select("x.*")
+
+
+_ASSETS = {"assets": {"image": {"eo:bands": [{"name": "B1", "common_name": "blue"}, {"name": "B2", "common_name": "red"}, {"name": "B3", "common_name": "red"}]}}}
+
+
+@query("SELECT * FROM (VALUES ('name', 'B1', 0), ('name', 'B2', 1), ('name', 'B3', 2), ('alias', 'B1', 0), ('alias', 'B2', 1), ('alias', 'B3', 2), ('absent', 'Band_1', 0), ('absent', 'Band_2', 1), ('length', 'Band_1', 0), ('common', 'blue', 0), ('common', 'red', 2)) t(kind, name, place)")
+def band_metadata(spark, sf):
+    path, absent = scratch(spark, "bands"), scratch(spark, "none")
+    writers.text(spark, path, json.dumps(_ASSETS))
+    found = {"name": readers.band_names(spark, path, 3), "alias": readers.band_names(spark, absent, 3, (path,)), "absent": readers.band_names(spark, absent, 2), "length": readers.band_names(spark, path, 1)}
+    rows = [(k, n, i) for k, names in found.items() for i, n in enumerate(names)] + [("common", n, i) for n, i in readers.band_index(spark, path).items()]
+    return spark.createDataFrame(rows, "kind string, name string, place int")
+
+
+@query("SELECT CASE label % 3 WHEN 0 THEN 2 ELSE 1 END AS cls, CASE label % 3 WHEN 0 THEN 'bare' ELSE 'other' END AS name, count(*) AS n FROM pixels GROUP BY 1, 2")
+def class_remap_file(spark, sf):
+    path = scratch(spark, "remap")
+    writers.text(spark, path, json.dumps({"reference_class": 2, "remap": {str(i): 2 if i % 3 == 0 else 1 for i in range(10)}, "class_names": {"1": "other", "2": "bare"}}))
+    table, reference, names = readers.class_remap(spark, path)
+    out = fixtures.pixels(spark, sf).groupBy(samples.remap(F.col("label"), table).alias("cls")).agg(F.count("*").alias("n"))
+    return out.select("cls", F.when(F.col("cls") == reference, names[2]).otherwise(names[1]).alias("name"), "n")
+
+
+@query(f"SELECT serial, p < 0.05 AS p_below, k < 0.03 AS k_below, {s6('si * 0.4674', 'Si')}, {s6('al * 0.5293', 'Al')} FROM samples")
+def limits_and_oxides(spark, sf):
+    limits, factors = scratch(spark, "lod"), scratch(spark, "oxides")
+    writers.text(spark, limits, json.dumps({"p": 0.05, "k": 0.03, "zr": None}))
+    writers.text(spark, factors, json.dumps([{"Oxide": "SiO2", "Element": "Si", "Factor": 0.4674}, {"Oxide": "Al2O3", "Element": "Al", "Factor": 0.5293}]))
+    df = samples.lod_flags(fixtures.samples(spark, sf), readers.lod_table(spark, limits))
+    df = df.select("serial", "p_below", "k_below", F.col("si").alias("SiO2"), F.col("al").alias("Al2O3"))
+    out = samples.oxides_to_elements(df, readers.oxide_table(spark, factors))
+    return out.select("serial", "p_below", "k_below", *r6(Si=F.col("Si"), Al=F.col("Al")))
+
+
+@query("SELECT r, c, " + ", ".join(f"emb[{i + 1}] AS Emb_A{i:02d}" for i in range(64)) + " FROM pixels")
+def embedding_scan(spark, sf):
+    path = scratch(spark, "embeddings")
+    fixtures.pixels(spark, sf).select("r", "c", F.col("emb").alias("embedding")).write.parquet(path)
+    return readers.embeddings(spark, path)
+
+
+# --- names, dates, small operators -----------------------------------------------------------------------------------------
+
+
+@query("SELECT serial, coalesce(CASE WHEN site IN ('1', '2') THEN NULL ELSE type END, 'CORRAL') AS type FROM samples")
+def fill_type(spark, sf):
+    df = fixtures.samples(spark, sf).withColumn("type", F.when(F.col("site").isin("1", "2"), F.lit(None)).otherwise(F.col("type")))
+    return samples.fill_type(df, "CORRAL").select("serial", "type")
+
+
+@query("SELECT * FROM (VALUES ('background', 'Elevation,Mg,P,Res,is_imputed'), ('raster', 'Mg,N,P,Res'), ('validation', 'Elevation,Mg,N,P'), ('groups', 'Elevation,Mg,N,P,Res'), ('triples', 'Mg,N,P,Res'), ('lithogenic', 'Mg,N')) t(mode, parts)")
+def part_detection(spark, sf):
+    df = spark.createDataFrame([], "Serial string, Site string, Type string, Easting double, Northing double, Longitude double, Latitude double, Elevation double, is_imputed bigint, Mg double, P double, N int, Res double")
+    return spark.createDataFrame([(m, ",".join(sorted(samples.detect_parts(df, m)))) for m in samples.EXCLUDED], "mode string, parts string")
+
+
+@query(f"SELECT serial, {s6('CASE WHEN p > 0 THEN ln(k / p) END', 'v')} FROM samples WHERE p > 0 AND k > 0")
+def infinite_dropped(spark, sf):
+    df = fixtures.samples(spark, sf).withColumn("v", F.when(F.col("k") > 0, F.ln("k")).otherwise(F.lit(float("-inf"))) - F.when(F.col("p") > 0, F.ln("p")).otherwise(F.lit(float("-inf"))))
+    return df.select("serial", samples.finite_or_null(F.col("v")).alias("v")).where("v IS NOT NULL").select("serial", *r6(v=F.col("v")))
+
+
+@query("SELECT p_partkey, lower(replace(p_name, ' ', '_')) AS slug, CAST(split_part(p_partkey || '.7', '.', 1) AS BIGINT) AS parent FROM part")
+def name_functions(spark, sf):
+    df = fixtures.table(spark, sf, "part")
+    parent = F.split(F.concat(F.col("p_partkey").cast("string"), F.lit(".7")), r"\.")[0].cast("bigint")
+    return df.select("p_partkey", text.slug(F.col("p_name")).alias("slug"), parent.alias("parent"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1995")
+def year_range(spark, sf):
+    df = fixtures.table(spark, sf, "orders").where(text.in_years(F.col("o_orderdate"), 1994, 1995))
+    return df.select("o_orderkey", text.iso_timestamp(F.col("o_orderdate")).alias("at"))
+
+
+@query("n AS (SELECT r_name AS a FROM region) SELECT 2 AS size, x.a || ',' || y.a AS members FROM n x JOIN n y ON x.a < y.a UNION ALL SELECT 3, x.a || ',' || y.a || ',' || z.a FROM n x JOIN n y ON x.a < y.a JOIN n z ON y.a < z.a")
+def combinations(spark, sf):
+    out = groups.combination_table(fixtures.table(spark, sf, "region").select("r_name"), "r_name", 2, 3)
+    return out.select("size", text.joined(F.col("members")).alias("members"))
+
+
+@query(f"{_SPEAR} SELECT part_i, part_j, round(rho, 3) + 0.0 AS rho FROM c WHERE abs(rho) > 0.05 ORDER BY abs(rho) DESC LIMIT 3")
+def strongest_pairs(spark, sf):
+    df = fixtures.samples(spark, sf).where(samples.is_background())
+    return groups.strong_pairs(groups.clr_spearman(df, X), 0.05).limit(3).select("part_i", "part_j", (F.round("rho", 3) + F.lit(0.0)).alias("rho"))
+
+
+@query("SELECT site, type, serial FROM samples ORDER BY site, type, serial LIMIT 25")
+def sorted_head(spark, sf):
+    return fixtures.samples(spark, sf).select("site", "type", "serial").orderBy("site", "type", "serial").limit(25)
+
+
+@query("i AS (SELECT p_partkey AS k, 'f' || p_partkey AS feature, ((p_partkey * 7919) % 1009) / 1000.0 - 0.4 AS mean FROM part WHERE p_partkey <= 60) SELECT feature FROM i WHERE mean > 0 ORDER BY mean DESC, feature LIMIT (SELECT greatest(5, CAST(ceil(count(*) * 0.25) AS INT)) FROM i WHERE mean > 0)")
+def kept_features(spark, sf):
+    k = fixtures.table(spark, sf, "part").where("p_partkey <= 60").select("p_partkey")  # sixty features, whatever the scale
+    importance = k.select(F.concat(F.lit("f"), "p_partkey").alias("feature"), (((F.col("p_partkey") * 7919) % 1009) / 1000.0 - 0.4).alias("mean"))
+    return spark.createDataFrame([(f,) for f in learning.keep_features(importance, 0.25)], "feature string")
+
+
+_CLOSE3 = [f"{p} / (si + al + p)" for p in ("al", "p", "si")]
+
+
+@query(f"""{FIXED}, v AS (SELECT serial, type, easting, 'validation' AS origin, si, al, p FROM fixed WHERE site IN ('1', '2', '3')
+UNION ALL SELECT serial, type, easting, 'training', si, al, p FROM fixed WHERE site NOT IN ('1', '2', '3') AND type = 'Background')
+SELECT serial, type, origin, easting AS Easting, CAST(NULL AS DOUBLE) AS Northing, {', '.join(s6(e, f'c{i + 1}') for i, e in enumerate(_CLOSE3))} FROM v""")
+def validation_alignment(spark, sf):
+    df = fixed(spark, sf).withColumnRenamed("easting", "Easting").drop("northing")
+    near = F.col("site").isin("1", "2", "3")
+    training = df.where(~near).withColumn("Northing", F.lit(None).cast("double"))
+    out, shared = samples.align_for_validation(training, df.where(near).drop("k"), columns=("serial",), places=("Easting", "Northing"))
+    return out.select("serial", "type", "origin", "Easting", "Northing", *named("c", [F.col(c) for c in shared]))
 
 
 # --- models -------------------------------------------------------------------------------------------------------------
@@ -706,6 +1056,30 @@ def ridge_closed_form(spark, sf):
     return spark.createDataFrame([(*w, b)], "w1 double, w2 double, intercept double").select(*r6(w1=F.col("w1"), w2=F.col("w2"), intercept=F.col("intercept")))
 
 
+def _ridge_sql(name: str, where: str) -> str:
+    """Closed form of the ridge regression of p on si and al over some rows, as a table of one row."""
+    sums = "covar_pop(si, si) * count(*) + 1 AS xx, covar_pop(al, al) * count(*) + 1 AS yy, covar_pop(si, al) * count(*) AS xy, covar_pop(si, p) * count(*) AS xt, covar_pop(al, p) * count(*) AS yt, avg(si) AS mx, avg(al) AS my, avg(p) AS mt"
+    return f"a_{name} AS (SELECT {sums} FROM parted WHERE {where}), {name} AS (SELECT w1, w2, mt - w1 * mx - w2 * my AS w0 FROM (SELECT (xt * yy - yt * xy) / (xx * yy - xy * xy) AS w1, (yt * xx - xt * xy) / (xx * yy - xy * xy) AS w2, mx, my, mt FROM a_{name}))"
+
+
+_PARTED = "parted AS (SELECT *, CAST(site AS INT) % 3 AS fold FROM samples)"
+
+
+@query(f"{_PARTED}, {', '.join(_ridge_sql(f'w{k}', f'fold <> {k}') for k in range(3))}, o AS ({' UNION ALL '.join(f'SELECT serial, fold, w1 * si + w2 * al + w0 AS y_pred FROM parted, w{k} WHERE fold = {k}' for k in range(3))}) SELECT serial, fold, {s6('y_pred', 'y_pred')} FROM o")
+def ridge_out_of_fold(spark, sf):
+    df = fixtures.samples(spark, sf).withColumn("fold", F.col("site").cast("int") % 3)
+    return learning.out_of_fold(df, learning.ridge_model(["si", "al"], "p")).select("serial", "fold", *r6(y_pred=F.col("y_pred")))
+
+
+@query(f"{_PARTED}, {_ridge_sql('tr', 'fold > 0')}, {_ridge_sql('fin', 'TRUE')} SELECT serial, {s6('tr.w1 * si + tr.w2 * al + tr.w0', 'y_pred')}, {s6('fin.w1 * si + fin.w2 * al + fin.w0', 'y_last')} FROM parted, tr, fin WHERE fold = 0")
+def train_test_refit(spark, sf):
+    df = fixtures.samples(spark, sf)
+    held = F.col("site").cast("int") % 3 == 0
+    out, last = learning.fit_and_refit(df.where(~held), df.where(held), learning.ridge_model(["si", "al"], "p"))
+    out = last.transform(out.withColumnRenamed("y_pred", "first")).select("serial", F.col("first").alias("y_pred"), F.col("y_pred").alias("y_last"))
+    return out.select("serial", *r6(y_pred=F.col("y_pred"), y_last=F.col("y_last")))
+
+
 _V4 = ["blue", "green", "red", "nir"]
 _SD = " + ".join(f"power(a.{b} - b.{b}, 2)" for b in _V4)
 
@@ -734,13 +1108,43 @@ def strict_leave_site_out(spark, sf):
         return found["markers"] or ["p"], found["background"]
 
     out = learning.leave_site_out(fixed(spark, sf), X, ["easting", "northing"], "site", target)
-    return out.groupBy("site", "markers").agg(F.count("*").alias("n"), *r6(y_true=F.avg("y_true"), y_pred=F.avg("y_pred")))
+    return out.groupBy("site", "markers", "fallback").agg(F.count("*").alias("n"), *r6(y_true=F.avg("y_true"), y_pred=F.avg("y_pred"), threshold=F.first("threshold")))
+
+
+@query()
+def marker_stability(spark, sf):
+    """How many folds derive the markers that all sites together give."""
+    found = groups.compositional_groups(fixed(spark, sf), X, 0.95)
+    folds = strict_leave_site_out(spark, sf).select("markers", "fallback")
+    return learning.marker_stability(folds, found["markers"] or ["p"])
+
+
+@query()
+def boosting_rounds(spark, sf):
+    px = fixtures.pixels(spark, sf).select(*_XY, "nir", (F.col("r") % 3).alias("fold"))
+    rounds, best = learning.boosted_rounds(px, _XY, "nir", "fold", 12, maxDepth=3)
+    return spark.createDataFrame([(rounds, best)], "rounds int, best array<int>")
+
+
+@query()
+def regressor_search(spark, sf):
+    px = fixtures.pixels(spark, sf).select(*_XY, "nir", (F.col("r") % 3).alias("fold"))
+    space = {"maxDepth": [2, 3], "stepSize": [0.1, 0.3]}
+    best, score = learning.random_search(px, space, lambda **k: learning.boosted(_XY, "nir", maxIter=4, **k), lambda out: learning.mean_fold_r2(out, "nir"), 2)
+    return spark.createDataFrame([(str(sorted(best.items())), score)], "setting string, score double")
+
+
+@query()
+def classifier_search(spark, sf):
+    px = fixtures.pixels(spark, sf).where("cls <> 0").select("cls", *_V4, (F.col("r") % 3).alias("fold"))
+    best, score = learning.search_classifier(px, _V4, "cls", "fold", {"numTrees": [5, 10], "maxDepth": [3, 5]}, 2)
+    return spark.createDataFrame([(str(sorted(best.items())), score)], "setting string, score double")
 
 
 @query()
 def permutation_importance(spark, sf):
-    px = fixtures.pixels(spark, sf).select(*_XY, "nir").cache()
-    return learning.permutation_importance(px, learning.boosted(_XY, "nir", maxIter=5, maxDepth=3)(px), _XY, "nir", 2)
+    px = fixtures.pixels(spark, sf).select(*_XY, "nir")
+    return learning.permutation_importance(px, learning.boosted(_XY, "nir", maxIter=5, maxDepth=3)(px), _XY, "nir", 5)
 
 
 @query()

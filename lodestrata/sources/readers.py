@@ -36,13 +36,20 @@ def _eo_bands(meta: dict) -> list[dict]:
     return bands or meta.get("eo:bands", [])
 
 
-def band_names(spark: SparkSession, path: str, count: int) -> list[str]:
-    """Names from a sidecar file; ``Band_1`` and so on where it is absent, broken or of another length."""
-    try:
-        names = [b["name"] for b in _eo_bands(json.loads(_text(spark, path)))]
-        return names if len(names) == count else [f"Band_{i + 1}" for i in range(count)]
-    except (AnalysisException, KeyError, TypeError, ValueError, AttributeError):
-        return [f"Band_{i + 1}" for i in range(count)]
+def band_names(spark: SparkSession, path: str, count: int, aliases: tuple[str, ...] = ()) -> list[str]:
+    """Names from a sidecar file, or the first of its other names that is there; ``Band_1`` and so on where there is
+    none, or it is broken or of another length."""
+    for at in (path, *aliases):
+        try:
+            names = [b["name"] for b in _eo_bands(json.loads(_text(spark, at)))]
+        except AnalysisException:  # no such file
+            continue
+        except (KeyError, TypeError, ValueError, AttributeError):
+            break
+        if len(names) == count:
+            return names
+        break
+    return [f"Band_{i + 1}" for i in range(count)]
 
 
 def band_index(spark: SparkSession, path: str) -> dict[str, int]:

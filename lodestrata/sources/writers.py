@@ -18,6 +18,27 @@ def row_blocks(pixels: DataFrame, path: str, rows: int = 1024) -> None:
     pixels.withColumn("block", F.expr(f"r DIV {rows}")).repartition("block").write.mode("overwrite").partitionBy("block").parquet(path)
 
 
+def feature_stack(pixels: DataFrame, path: str, bands: dict, embedding: str | None = None, size: int = 64, tile: int = 256) -> None:
+    """The feature stack of a raster, by tile."""
+    from ..operators.raster import feature_stack as stack
+
+    tiles(stack(pixels, bands, embedding, size), path, tile)
+
+
+def text(spark, path: str, content: str) -> None:
+    """One small text file (in a folder, as Spark writes it)."""
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def geojson(points: DataFrame, path: str, x: str, y: str) -> None:
+    """Points as one FeatureCollection: one JSON value, so for tables of some thousand rows (sites, polygons)."""
+    rest = [c for c in points.columns if c not in (x, y)]
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*rest).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates")).alias("geometry"))
+    whole = points.select(feature.alias("f")).groupBy().agg(F.collect_list("f").alias("features"))
+    rows = whole.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+    rows.coalesce(1).write.mode("overwrite").text(path)
+
+
 def prediction(pixels: DataFrame, path: str, columns: list[str] = ("pred",)) -> None:
     """One or more value columns (prediction, uncertainty) as floats."""
     row_blocks(pixels.select("r", "c", *[F.col(c).cast("float").alias(c) for c in columns]), path)

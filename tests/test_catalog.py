@@ -5,7 +5,7 @@ import pytest
 
 from lodestrata.plans.catalog import ORACLES, QUERIES
 
-SLOW = {"gbt_oof", "permutation_importance", "strict_leave_site_out", "sieve"}
+SLOW = {"gbt_oof", "permutation_importance", "strict_leave_site_out", "sieve", "marker_stability", "regressor_search", "classifier_search", "boosting_rounds"}  # their operators have tests of their own
 
 
 @pytest.fixture(scope="module")
