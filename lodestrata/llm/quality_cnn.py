@@ -44,6 +44,10 @@ def symbols(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         for k in range(32):  # what a document repeats lies inside it
             at = starts[starts + k < n] + k
             again[at] = False
+        ends = offs[1:]
+        for k in range(1, 8):  # nor do windows at its end reach into the next one
+            at = ends[ends - k >= starts] - k
+            again[at] = False
         out[again] += 256
     return out
 
