@@ -137,10 +137,14 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: in
     texts = kept.select(F.col(rid).alias("rid"), "text")
     order = kept.select(F.col(rid).alias("rid"), "doc_id")
     gone: list[DataFrame] = []
+    tried: list[DataFrame] = []
 
     def lose(pairs: DataFrame) -> bool:
         """Drop all but one of each group that the near ones among ``pairs`` make; whether there is one."""
-        edges = common.persist(_checked(common.persist(pairs, "candidates"), texts, words, similarity), "near")
+        if tried:  # of a pair met before, one has gone or both are known to differ
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+        tried.append(common.persist(pairs, "candidates"))
+        edges = common.persist(_checked(tried[-1], texts, words, similarity), "near")
         if edges.isEmpty():
             return False
         roots = simhash.components(edges).select(F.col("node").alias("rid"), "root")
