@@ -430,3 +430,22 @@ def test_near_copies_by_similarity(spark, crowd):
     assert [p for p in near if set(p) <= left]
     kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "near").collect()}
     assert not [p for p in near if set(p) <= kept]
+
+
+def test_texts_of_one_form_are_not_all_paired(spark, monkeypatch):
+    r = random.Random(5)
+    form = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(form + [f"y{r.randrange(10**6)}" for _ in range(30)])) for k in range(80)]
+    rows += [(k + 80, rows[k][1] + " z") for k in (3, 40)]  # near copies among texts that are alike but less than 0.8
+    pairs, persist = [], common.persist
+
+    def counted(df, name):
+        out = persist(df, name)
+        pairs.extend((x.a, x.b) for x in (out.collect() if name == "candidates" else []))
+        return out
+
+    monkeypatch.setattr(common, "persist", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert _brute_near(rows) == [(3, 83), (40, 120)]
+    assert sorted(x.doc_id for x in near_copies.keep_one(docs, crowd=4).collect()) == list(range(80))
+    assert len(pairs) == len(set(pairs))
