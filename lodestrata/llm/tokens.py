@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import chain
+from array import array
+from itertools import repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ import pyarrow.compute as pc
 from .textprep import LOWER, gather_ranges, raw, strings
 
 _LONG = 64
+_ID = attrgetter("id")
 _WORD = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 _BREAK = np.array([b in (10, 32) for b in range(256)])
 _MARK = np.array([33 <= b <= 126 and not chr(b).isalnum() and b != 39 for b in range(256)])
@@ -59,37 +62,40 @@ class PieceEncoder:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.length, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        words = pc.match_substring_regex(pa.array(pieces, pa.string()), _WORD).to_pylist() if self.direct else [False] * len(pieces)
-        rest = [p for p, word in zip(pieces, words) if not word]
-        others = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
-        tokenize, blank = self.tokenizer.model.tokenize, self.written[32]
-        out = []
-        for p, word in zip(pieces, words):
-            if not word:
-                out.append(next(others).ids)
-                continue
-            if self.lower:
-                p = p.lstrip(" ").lower()
-            p = p.replace(" ", blank) if p.isascii() else p.translate(self.written)
-            out.append([t.id for t in tokenize(p)])
-        return out
-
-    def _add(self, pieces: list[str]) -> np.ndarray:
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of ``pieces`` with the plain words first, and in that order their ids and the number of each."""
+        word = pc.match_substring_regex(pieces, _WORD).to_numpy(zero_copy_only=False) if self.direct else np.zeros(len(pieces), bool)
+        words, others = pieces.filter(pa.array(word)), pieces.filter(pa.array(~word))
+        if self.lower:
+            words = pc.utf8_lower(pc.utf8_ltrim(words, " "))
+        blank = self.written[32]
+        words = [p.replace(" ", blank) if p.isascii() else p.translate(self.written) for p in words.to_pylist()]
+        tokenize, ids, length = self.tokenizer.model.tokenize, array("I"), []
+        for p in words:  # a word's tokens are freed with it: kept ones cost more than they save
+            tokens = tokenize(p)
+            ids.extend(map(_ID, tokens))
+            length.append(len(tokens))
+        for e in self.tokenizer.encode_batch_fast(others.to_pylist(), add_special_tokens=False):
+            tokens = e.ids
+            ids.extend(tokens)
+            length.append(len(tokens))
+        order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
+        return order, np.array(ids, np.uint32), np.array(length, np.int64)
+
+    def _add(self, pieces: pa.Array) -> np.ndarray:
         """Rows of the table for new pieces; ids past ``max_pieces`` are dropped with the next ``clear``."""
-        ids = self._ids(pieces)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(length.sum())
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        order, flat, length = self._ids(pieces)
+        total, n = len(flat), len(length)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.rows + len(ids) > len(self.at):
+        while self.rows + n > len(self.at):
             self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
         self.pool[self.used : self.used + total] = flat
-        out = np.arange(self.rows, self.rows + len(ids))
-        self.length[out] = length
-        self.at[out] = self.used + np.cumsum(length) - length
-        self.used, self.rows = self.used + total, self.rows + len(ids)
+        out = np.empty(n, np.int64)
+        out[order] = rows = np.arange(self.rows, self.rows + n)
+        self.length[rows] = length
+        self.at[rows] = self.used + np.cumsum(length) - length
+        self.used, self.rows = self.used + total, self.rows + n
         return out
 
     def _pieces(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,12 +132,12 @@ class PieceEncoder:
         if len(self.known) + len(pieces) > self.max_pieces:
             self.clear()
         mark = self.rows, self.used
-        rows = np.fromiter((self.known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        rows = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(rows < 0)
         if len(new):
-            fresh = [pieces[i] for i in new]
-            rows[new] = self._add(fresh)
-            self.known.update((p, r) for p, r in zip(fresh, rows[new].tolist()) if len(p) <= _LONG)
+            rows[new] = self._add(coded.dictionary.take(pa.array(new)))
+            short = new[pc.utf8_length(coded.dictionary).to_numpy()[new] <= _LONG]
+            self.known.update(zip([pieces[i] for i in short.tolist()], rows[short].tolist()))
         which = rows[coded.indices.to_numpy(zero_copy_only=False)]
         index, at = gather_ranges(self.at[which], self.length[which])
         out = self.pool[index], at[first]
