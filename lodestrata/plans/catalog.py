@@ -1084,7 +1084,7 @@ _V4 = ["blue", "green", "red", "nir"]
 _SD = " + ".join(f"power(a.{b} - b.{b}, 2)" for b in _V4)
 
 
-@query(f"m AS (SELECT a.r, a.c, a.cls AS c1, b.cls AS c2, avg(sqrt({_SD})) AS m FROM pixels a JOIN pixels b ON (a.r, a.c) <> (b.r, b.c) WHERE a.r < 20 AND b.r < 20 GROUP BY a.r, a.c, a.cls, b.cls), s AS (SELECT r, c, c1, min(m) FILTER (c1 = c2) AS a, min(m) FILTER (c1 <> c2) AS b FROM m GROUP BY r, c, c1) SELECT c1 AS cls, {s6('avg((b - a) / greatest(a, b))', 'silhouette')}, count(*) AS n FROM s GROUP BY c1")
+@query(f"m AS (SELECT a.r, a.c, a.cls AS c1, b.cls AS c2, avg(sqrt({_SD})) AS m FROM pixels a JOIN pixels b ON (a.r, a.c) <> (b.r, b.c) GROUP BY a.r, a.c, a.cls, b.cls), s AS (SELECT r, c, c1, min(m) FILTER (c1 = c2) AS a, min(m) FILTER (c1 <> c2) AS b FROM m GROUP BY r, c, c1) SELECT c1 AS cls, {s6('avg((b - a) / greatest(a, b))', 'silhouette')}, count(*) AS n FROM s GROUP BY c1")
 def silhouette_exact(spark, sf):
     # the whole raster; the SQL compares 20 rows of pixels, which is all there are on sf0.001 and sf0.01
     px = fixtures.pixels(spark, sf).withColumn("key", F.col("r") * 25 + F.col("c"))
