@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -31,6 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of so many short rows, as a side of a join: a broadcast up to ``BROADCAST_ROWS``, else a shuffle.  Either way
+    the other side is never broadcast: where rows are exploded, the optimizer takes them for as few as before."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that ``cut`` wrote and nothing reads any more."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import bounded, cut
 
 Y, P = "y_true", "y_pred"
 
@@ -176,17 +176,15 @@ def _number(text: Column) -> Column:
 def bootstrap_ci(sites: DataFrame, draws: int = 2000, y: str = "mean_true", p: str = "mean_pred", seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(lo, hi, n) of the correlation of site means over resamples of as many sites as there are, drawn with replacement.
 
-    The j-th draw of a resample takes the site whose number is a hash of (seed, resample, j).  Sites are numbered once;
-    resamples are dealt out to tasks, and what they drew meets the sites in an equality join.  Undefined draws are
-    dropped."""
+    The j-th draw of a resample takes the site whose number is a hash of (seed, resample, j).  Sites are numbered once
+    and draws are the rows of a range, so that the optimizer knows how many there are: up to ``BROADCAST_ROWS`` sites go
+    to the draws, more meet them in a shuffle.  Undefined draws are dropped."""
     ranked = row_ranks(sites.select(F.col(y).alias("y"), F.col(p).alias("p"), F.struct(*sites.columns).alias("site")), [F.col("site")])
-    ranked = ranked.select(F.col("rn").alias("pick"), "y", "p", "n")
-    total = F.lit(sites.count())
-    spark = sites.sparkSession
-    taken = spark.range(1, draws + 1).withColumnRenamed("id", "b").repartition(F.col("b")).withColumn("n", total).where("n > 0")
-    taken = taken.select("b", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("j"), "n")
-    taken = taken.select("b", (_number(F.concat_ws(":", F.lit(seed), "b", "j")) % F.col("n") + 1).alias("pick"))
-    rows = taken.join(ranked.drop("n"), "pick")
+    ranked = cut(ranked.select(F.col("rn").alias("pick"), "y", "p"))
+    n = ranked.count()
+    place = sites.sparkSession.range(draws * n).select(F.expr(f"id DIV {max(n, 1)} + 1").alias("b"), F.expr(f"id % {max(n, 1)} + 1").alias("j"))
+    taken = place.select("b", (_number(F.concat_ws(":", F.lit(seed), "b", "j")) % max(n, 1) + 1).alias("pick"))
+    rows = taken.join(bounded(ranked, n), "pick")
     # the correlation by centred sums: corr() keeps means and co-moments, which do not cancel
     r = rows.groupBy("b").agg(F.corr("y", "p").alias("r")).where("r IS NOT NULL AND NOT isnan(r)")
     return r.agg(F.percentile("r", F.lit(low)).alias("lo"), F.percentile("r", F.lit(high)).alias("hi"), F.count("*").alias("n"))
