@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import coda
-from .lineage import cut
+from .lineage import bounded, cut
 
 BACKGROUND = ("BACKGROUND", "Background", "B")
 _FLAGS = {"is_imputed", "is_outlier"}
@@ -131,12 +131,17 @@ def means_within(spots: DataFrame, key: str, points: DataFrame, values: list[str
     """(key, values...): means of the points at most ``radius`` from each spot; spots without any are missing.
 
     Points are summed once for each cell of ``radius / split``.  Cells that lie wholly inside a spot's circle give their
-    sums; only points of cells that its border crosses are met one by one, so pairs grow with the border of the circle
-    and not with its area."""
+    sums; only points of cells that its border crosses are met one by one (those at one place as one), so pairs grow with
+    the border of the circle and not with its area.
+
+    Spots become many rows each, which are never broadcast: cells and points are, if they are few."""
     cell = float(radius) / split if radius > 0 else 1.0
     (sx, sy), (px, py) = (tuple(F.col(c) for c in xy) for xy in (spot_xy, point_xy))
-    dealt = points.select(F.floor(px / cell).alias("__i"), F.floor(py / cell).alias("__j"), px.alias("__px"), py.alias("__py"), *values)
-    totals = dealt.groupBy("__i", "__j").agg(*[F.sum(v).alias(v) for v in values], F.count("*").alias("__n"))
+    sums_of = lambda df, by, n: df.groupBy(*by).agg(*[F.sum(v).alias(v) for v in values], n.alias("__n"))
+    placed = points.select(px.cast("double").alias("__px"), py.cast("double").alias("__py"), *values).where(~F.isnan("__px") & ~F.isnan("__py"))
+    spread = sums_of(placed, ["__px", "__py"], F.count("*"))
+    dealt = cut(spread.withColumns({"__i": F.floor(F.col("__px") / cell), "__j": F.floor(F.col("__py") / cell)}))
+    totals = cut(sums_of(dealt, ["__i", "__j"], F.sum("__n")))
     reach = F.sequence(F.lit(-split - 1), F.lit(split + 1))
     around = spots.select(F.col(key), sx.alias("__sx"), sy.alias("__sy"), F.explode(reach).alias("__a")).select("*", F.explode(reach).alias("__b"))
     around = around.withColumns({"__i": F.floor(F.col("__sx") / cell) + F.col("__a"), "__j": F.floor(F.col("__sy") / cell) + F.col("__b")})
@@ -151,11 +156,10 @@ def means_within(spots: DataFrame, key: str, points: DataFrame, values: list[str
     around = around.withColumns({"__near": F.sqrt(x0 * x0 + y0 * y0), "__far": F.sqrt(x1 * x1 + y1 * y1)})
     around = around.where(F.col("__near") <= radius * (1 + 1e-9) + 1e-9)
     whole = F.col("__far") <= radius * (1 - 1e-9) - 1e-9
-    inside = around.where(whole).join(totals, ["__i", "__j"]).select(key, *values, "__n")
+    inside = around.where(whole).join(bounded(totals, totals.count()), ["__i", "__j"]).select(key, *values, "__n")
     dx, dy = F.col("__sx") - F.col("__px"), F.col("__sy") - F.col("__py")
-    border = around.where(~whole).join(dealt, ["__i", "__j"]).where(F.sqrt(dx * dx + dy * dy) <= radius)
-    border = border.select(key, *values, F.lit(1).cast("bigint").alias("__n"))
-    sums = inside.unionByName(border).groupBy(key).agg(*[F.sum(v).alias(v) for v in values], F.sum("__n").alias("__n"))
+    border = around.where(~whole).join(bounded(dealt, dealt.count()), ["__i", "__j"]).where(F.sqrt(dx * dx + dy * dy) <= radius)
+    sums = inside.unionByName(border.select(key, *values, "__n")).groupBy(key).agg(*[F.sum(v).alias(v) for v in values], F.sum("__n").alias("__n"))
     return sums.select(key, *[(F.col(v) / F.col("__n")).alias(v) for v in values])
 
 

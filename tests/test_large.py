@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import lineage, metrics
+from lodestrata.operators import lineage, metrics, samples
 
 
 def broadcast_parts(df) -> list[str]:
@@ -31,3 +31,23 @@ def test_bootstrap_broadcasts_sites_and_not_draws(spark, monkeypatch):
     assert not broadcast_parts(shuffled) and shuffled.first() == pytest.approx(got)
     assert got.n == 200 and -1 < got.lo < got.hi < 1
     assert metrics.bootstrap_ci(sites.limit(0), 200).first().n == 0
+
+
+def test_means_within_broadcast_no_exploded_spots(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    at, v = r.integers(-40, 40, (3000, 2)).astype(float), r.standard_normal(3000)
+    spots = [(i, float(x), float(y)) for i, (x, y) in enumerate(r.uniform(-45, 45, (30, 2)))]
+    a = spark.createDataFrame(spots, "k int, x double, y double")
+    b = spark.createDataFrame([(float(p[0]), float(p[1]), float(q)) for p, q in zip(at, v)] + [(float("nan"), 0.0, 1e9), (0.0, None, 1e9)], "u double, w double, v double")
+    want = {}
+    for k, x, y in spots:
+        near = np.hypot(x - at[:, 0], y - at[:, 1]) <= 17.0
+        if near.any():
+            want[k] = pytest.approx(v[near].mean())
+    # the spots as a written table: the optimizer knows how small they are, and takes them for as small when exploded
+    a = lineage.cut(a)
+    for rows in (lineage.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(lineage, "BROADCAST_ROWS", rows)
+        frame = samples.means_within(a, "k", b, ["v"], 17.0, ("x", "y"), ("u", "w"))
+        assert not [x for x in broadcast_parts(frame) if "Generate" in x]
+        assert {q.k: q.v for q in frame.collect()} == want
