@@ -538,7 +538,8 @@ _IN = "CASE WHEN x > 810 AND x < 2610 AND y > 1010 AND y < 3010 THEN 8 WHEN x >
 
 @query(f"{_CENTRE} SELECT r, c, {_IN} AS label FROM px")
 def rasterize_polygons(spark, sf):
-    return raster.rasterize(_rectangles(spark), _grid(fixtures.pixels(spark, sf)))
+    px = fixtures.pixels(spark, sf)
+    return raster.rasterize(_rectangles(spark), _grid(px), pixels=px)
 
 
 @query(f"{_CENTRE} SELECT r, c, {s6(f'CASE WHEN ({_IN}) > 0 THEN nir END', 'nir')} FROM px")
@@ -882,8 +883,9 @@ def geojson_scan(spark, sf):
 def geotiff_round_trip(spark, sf):
     path = scratch(spark, "geotiff").removeprefix("file://")
     px = fixtures.pixels(spark, sf)
-    tiles = geotiff.write(px.select("r", "c", "nir", "red"), path, _grid(px), ["nir", "red"])
-    out = geotiff.read(spark, tiles.first()["path"], ["nir", "red"])
+    geotiff.write(px.select("r", "c", "nir", "red"), path, _grid(px), ["nir", "red"])
+    # a file has every place of its square: those of the table are kept
+    out = geotiff.read(spark, path, ["nir", "red"], grid=_grid(px)).join(px.select("r", "c"), ["r", "c"], "left_semi")
     return out.select("r", "c", *r6(nir=F.col("nir"), red=F.col("red")))
 
 

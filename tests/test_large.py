@@ -2,11 +2,13 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import lineage, metrics, samples
+from lodestrata.operators import lineage, metrics, raster, samples
+from lodestrata.plans import catalog
 
 
 def broadcast_parts(df) -> list[str]:
@@ -51,3 +53,21 @@ def test_means_within_broadcast_no_exploded_spots(spark, monkeypatch):
         frame = samples.means_within(a, "k", b, ["v"], 17.0, ("x", "y"), ("u", "w"))
         assert not [x for x in broadcast_parts(frame) if "Generate" in x]
         assert {q.k: q.v for q in frame.collect()} == want
+
+
+#: Rows of the raster of 25 columns: 420 rows of pixels put centres on borders, 21 pixels are a short last row.
+SIZES = {
+    "nearest_resample": 300,
+}
+
+
+@pytest.mark.parametrize("name", sorted(SIZES))
+def test_rasters_of_other_sizes(spark, tmp_path, name):
+    d = duckdb.connect()
+    d.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.1/embeddings.parquet' WHERE vec_id < {SIZES[name]}) TO '{tmp_path}/embeddings.parquet'")
+    d.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    for t in ("lineitem", "events"):
+        d.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    frame = catalog.QUERIES[name](spark, str(tmp_path))
+    got, want = [sorted(map(tuple, x)) for x in (frame.collect(), d.sql(catalog.ORACLES[name]).fetchall())]
+    assert got == want
