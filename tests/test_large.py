@@ -60,6 +60,7 @@ SIZES = {
     "box_filter": 321,
     "median_filter_nearest": 321,
     "nearest_resample": 300,
+    "pansharpen_ratio": 321,
 }
 
 
