@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import lineage, metrics, raster, samples
 from lodestrata.plans import catalog
+from lodestrata.sources import geotiff
 
 
 def broadcast_parts(df) -> list[str]:
@@ -58,6 +59,7 @@ def test_means_within_broadcast_no_exploded_spots(spark, monkeypatch):
 #: Rows of the raster of 25 columns: 420 rows of pixels put centres on borders, 21 pixels are a short last row.
 SIZES = {
     "box_filter": 321,
+    "geotiff_round_trip": 321,
     "median_filter_nearest": 321,
     "nearest_resample": 300,
     "pansharpen_ratio": 321,
@@ -75,3 +77,16 @@ def test_rasters_of_other_sizes(spark, tmp_path, name):
     frame = catalog.QUERIES[name](spark, str(tmp_path))
     got, want = [sorted(map(tuple, x)) for x in (frame.collect(), d.sql(catalog.ORACLES[name]).fetchall())]
     assert got == want
+
+
+def test_geotiff_of_several_files(spark, tmp_path):
+    grid = raster.Header(100.0, 5000.0, 200.0, 5000 / 41, 41, 25)
+    px = spark.range(1021).select(F.expr("int(id DIV 25)").alias("r"), F.expr("int(id % 25)").alias("c"), F.expr("IF(id = 700, NULL, id * 0.5D)").alias("v"))
+    assert geotiff.write(px, str(tmp_path / "all"), grid, ["v"], tile=8).count() == 23
+    got = geotiff.read(spark, str(tmp_path / "all"), ["v"], grid=grid)
+    there = {(q.r, q.c): q.v for q in got.collect()}
+    # places without a pixel or a value are null; the one place of the last square has no file
+    assert len(there) == 41 * 25 - 1
+    assert {k: v for k, v in there.items() if v is not None} == {divmod(i, 25): i * 0.5 for i in range(1021) if i != 700}
+    with pytest.raises(Exception, match="not on the mosaic's grid"):
+        geotiff.read(spark, str(tmp_path / "all"), ["v"], grid=raster.Header(150.0, 5000.0, 200.0, 5000 / 41, 41, 25)).count()
