@@ -13,12 +13,14 @@ from lodestrata.llm.tokens import vocabulary
 
 
 def stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A stage frees the working tables of the stage before, whose result is a written table by then."""
+    """A stage frees the working tables of the stage before, whose result is a written table by then, and sends small batches
+    to Python."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         name = f"pipeline {sf_dir}"
         common.release(spark, name)
+        common.small_batches(spark)
         with common.scope(name):
             return f(spark, docs, sf_dir)
 

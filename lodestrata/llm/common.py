@@ -34,6 +34,19 @@ def ship(spark: SparkSession) -> None:
     setattr(sc, _SHIPPED, True)
 
 
+BATCH = {"maxRecordsPerBatch": 2000, "maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python from now on to about what is worked on at once: Spark's own bound is most of a
+    task's rows, which then lie in the JVM's and the worker's memory several times.  Smaller bounds stay."""
+    for name, most in BATCH.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one is set only where the session names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")

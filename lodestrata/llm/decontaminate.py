@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .textprep import ALNUM, LOWER, Words, gather_ranges, index_in, raw, slices
+from .tokens import forget
 
 BLOCK_BYTES = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -109,6 +110,7 @@ def _scanner(shared, text: str, hits_only: bool):
     any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         grams: Grams = shared.value
         for batch in slices(batches, text):
             buf, offs = raw(batch.column(batch.schema.get_field_index(text)))

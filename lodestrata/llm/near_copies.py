@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common, simhash
 from .textprep import slices
+from .tokens import forget
 
 CENTRES, CROWD = 4, 16
 #: Keys and minima in a key, level by level.
@@ -67,6 +68,7 @@ def band_keys(sets: list[list[int]], bands: int, rows: int) -> np.ndarray:
 
 def _mapper(words: int, level: tuple[int, int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, "text", 1 << 20):  # a hash of each word takes a hundred bytes here
             found = [(rid, s) for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (s := shingles(text, words))]
             sets = [s for _, s in found]

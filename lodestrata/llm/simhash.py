@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .textprep import slices
+from .tokens import forget
 
 CROWD = 512
 #: Row numbers that are broadcast to drop their rows; more are joined by a shuffle.
@@ -66,6 +67,7 @@ def fingerprints(texts: list[str], words: int = 3) -> np.ndarray:
 
 def _mapper(text: str, name: str, words: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, text, 1 << 20):  # a hash of each word takes a hundred bytes here
             columns = dict(zip(batch.schema.names, batch.columns))
             out = {k: columns[k] for k in keep}

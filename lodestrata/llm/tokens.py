@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .textprep import LOWER, gather_ranges, raw, strings
+from .textprep import LOWER, gather_ranges, raw, release_unused, strings
 
 _LONG = 64
 _ID = attrgetter("id")
@@ -156,6 +156,13 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Free the encoders of a worker that has gone on to another operator."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        release_unused()
+
+
 def vocabulary(name: str) -> str:
     """The installed file of a public vocabulary."""
     import public_tokenizers

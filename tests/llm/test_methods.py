@@ -429,3 +429,17 @@ def test_digests_of_op10(spark, sf, docs):
     texts = {r.doc_id: r.text for r in line_dedup.dedup_lines(common.documents(spark, sf)).collect()}
     assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in texts.items()} and len(got) == len(docs)
     assert zlib.crc32(b"1") >= 0
+
+
+def test_stages_send_small_batches_and_forget_encoders(spark, sf):
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from lodestrata.llm import tokens
+
+    corpus_pipeline.benchmark(spark, common.documents(spark, sf), sf)
+    sizes = spark.range(0, 9000, 1, 1).mapInPandas(lambda batches: (b.head(1).assign(id=len(b)) for b in batches), "id bigint")
+    assert max(r.id for r in sizes.collect()) <= common.BATCH["maxRecordsPerBatch"]
+    tokens.encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    list(simhash._mapper("t", "fp", 3, [])(iter([pa.RecordBatch.from_pydict({"t": ["a b c"]})])))
+    assert not tokens._ENCODERS
