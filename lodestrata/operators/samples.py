@@ -174,11 +174,12 @@ def remove_background(df: DataFrame, parts: list[str], buffer: float | None = 50
     the site, background or not, is divided by it and closed.  Rows of sites without any pass as they are, neither
     corrected nor closed; rows without a site are dropped.  ``corrected`` tells the two apart.
     """
-    fixed = coda.multiplicative_replacement(parts)
+    # columns of their own for what each part needs of all parts: as one formula they pass 64 KB of generated code
+    names, fixed, apart = ([f"{k}{p}" for p in parts] for k in ("b_", "__x_", "__d_"))
+    replaced = dict(zip(fixed, coda.multiplicative_replacement(parts)))
     # logarithms of closed background rows are taken once, before rows meet sites
-    logs = [F.ln(c).alias(f"b_{p}") for c, p in zip(coda.closure(fixed), parts)]
-    names = [f"b_{p}" for p in parts]
-    bg = df.where(is_background(kind)).select(F.col(x).alias("bx"), F.col(y).alias("by"), *logs)
+    logs = [F.ln(c).alias(n) for c, n in zip(coda.closure(fixed), names)]
+    bg = df.where(is_background(kind)).withColumns(replaced).select(F.col(x).alias("bx"), F.col(y).alias("by"), *logs)
     # one row for each site: what follows is written, so that the optimizer knows its size before it plans the join
     seen = df.where(F.col(site).isNotNull()).groupBy(F.col(site).alias("__site")).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.bool_or(~is_background(kind)).alias("__own"))
     spots = seen.where("__own")
@@ -190,10 +191,11 @@ def remove_background(df: DataFrame, parts: list[str], buffer: float | None = 50
         centers = spots.select("__site").join(near, "__site", "left")
     centers = cut(centers.select("__site", *[F.exp(n).alias(n) for n in names]))
     joined = df.join(centers, F.col(site) == F.col("__site")).drop("__site")
-    moved = coda.perturb_difference(fixed, names)
+    # the centre's difference, closed below
+    joined = joined.withColumns(replaced).withColumns({d: F.try_divide(c, F.col(n)) for d, c, n in zip(apart, coda.closure(fixed), names)})
     there = F.col(names[0]).isNotNull()
-    out = {p: F.when(there, m).otherwise(F.col(p)) for p, m in zip(parts, moved)}
-    return joined.withColumns(out | {"corrected": there}).drop(*names)
+    out = {p: F.when(there, m).otherwise(F.col(p)) for p, m in zip(parts, coda.closure(apart))}
+    return joined.withColumns(out | {"corrected": there}).drop(*names, *fixed, *apart)
 
 
 # --- collapse and alignment -----------------------------------------------------------------------------------------

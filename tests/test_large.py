@@ -104,3 +104,18 @@ def test_geotiff_tells_nan_from_null(spark, tmp_path):
     for more, why in ((px.limit(1), "a pixel is there twice"), (px.limit(1).withColumns({"r": F.lit(2), "c": F.lit(1), "v": F.lit(geotiff.GAP)}), "stands for no value")):
         with pytest.raises(Exception, match=why):
             geotiff.write(px.unionByName(more), str(tmp_path / "b"), grid, ["v"])
+
+
+@pytest.mark.parametrize("name", ["background_removal_local", "background_passthrough", "background_removal_global"])
+def test_background_formulas_compile(spark, sf, name):
+    # a formula that passes 64 KB of generated code fails here, else it runs outside whole-stage code
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows = catalog.QUERIES[name](spark, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    d = duckdb.connect()
+    d.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{sf}/lineitem.parquet'")
+    for t in ("embeddings", "events"):
+        d.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert sorted(map(tuple, rows)) == sorted(d.sql(catalog.ORACLES[name]).fetchall())
