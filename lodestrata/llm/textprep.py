@@ -118,4 +118,6 @@ def gather_ranges(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np
     """Indices of consecutive ranges, and the offsets of each range in them."""
     offs = np.zeros(len(length) + 1, np.int64)
     np.cumsum(length, out=offs[1:])
-    return np.repeat(start - offs[:-1], length) + np.arange(offs[-1]), offs
+    index = np.repeat(start - offs[:-1], length)
+    index += np.arange(offs[-1])
+    return index, offs

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, idcodec
-from .textprep import slices
+from .textprep import SLICE_BYTES, slices
 from .tokens import encoder
 
-SEGMENT_IDS = 4 << 20
+SEGMENT_IDS = 8 << 20  # 2048 blocks, coded side by side
 _SEGMENTS = "part int, seg int, before bigint, doc_ids array<bigint>, lengths array<int>, blob binary"
 _DOCS = "part int, place bigint, doc_id bigint, n_tokens bigint, ids binary"
 
@@ -38,7 +38,7 @@ def _coder(path: str, end_id: int | None, segment_ids: int):
             row = {"part": [part], "seg": [seg], "before": [before], "doc_ids": [names], "lengths": [lengths], "blob": [idcodec.encode(np.concatenate(held))]}
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("blob", pa.binary())]))
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 * SLICE_BYTES):  # larger slices hold fewer distinct pieces in all
             ids, offs = enc.encode(batch.column(1))
             if end_id is not None:
                 ids = np.insert(ids, offs[1:], end_id)

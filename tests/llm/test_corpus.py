@@ -107,6 +107,32 @@ def test_codec_damage():
         idcodec.decode(coded[:-5])
 
 
+@pytest.mark.parametrize("highest", [2**16 - 1, 2**16, 2**28 - 1, 2**28, 2**32 - 1])
+def test_codec_of_any_id(highest):
+    r = np.random.default_rng(highest)
+    x = np.append(r.zipf(1.3, 30000) % (highest + 1), highest).astype(np.uint64).astype(np.uint32)
+    coded = idcodec.encode(x, 1000, 8)
+    assert (idcodec.decode(coded, 8) == x).all() and (idcodec.decode(coded) == x).all()
+    # an id without a count is written plainly, so ids that are met once take little over their own bytes
+    once = idcodec.encode(r.permutation(40000).astype(np.uint32), 4096)
+    assert len(once) < 40000 * 2.2 and len(idcodec.decode(once)) == 40000
+
+
+def test_pieces_met_again_stay():
+    e, sent = PieceEncoder(vocabulary("word_bpe_49k.json"), max_pieces=300), []
+    add = e._add
+    e._add = lambda pieces: sent.extend(pieces.to_pylist()) or add(pieces)
+    words = lambda k, n: " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}" for i in range(k, k + n))
+    often = words(0, 50)
+    for k in range(50, 1000, 190):
+        text = f"{often} {words(k, 190)}"
+        ids, at = e.encode(pa.array([text, None, often]))
+        want = e.tokenizer.encode_batch([text, "", often], add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [w.ids for w in want]
+        assert len(e.known) <= 300
+    assert max(Counter(sent).values()) == 1 and len(sent) >= 1000
+
+
 def _ids(name, texts, end=None):
     from tokenizers import Tokenizer
 
