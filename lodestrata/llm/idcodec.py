@@ -354,8 +354,8 @@ def _decode_lanes(words: np.ndarray, plain: np.ndarray, ends_plain: np.ndarray,
 
 
 def block_size(n: int, most: int = 4096) -> int:
-    """Small segments get small blocks, so that enough of them run side by side."""
-    return int(min(most, max(512, -(-n // 512))))
+    """Small segments get small blocks, so that enough of them run side by side: 2048 down to blocks of 2048 ids, then 512."""
+    return int(min(most, max(512, -(-n // 2048), min(2048, -(-n // 512)))))
 
 
 def encode(ids: np.ndarray, block: int | None = None, lanes: int = 2048) -> bytes:
@@ -407,10 +407,9 @@ def decode(segment: bytes, lanes: int = 2048) -> np.ndarray:
         for i, length in enumerate(part[:, 1].tolist()):
             words[i, :length] = np.frombuffer(segment, "<u4", length, at[lo + i])
         side = beside[lo : lo + len(part) + 1]
-        grid = _decode_lanes(words, plain[side[0] : side[-1]], side[1:] - side[0], part[:, 0], highest)
+        grid = _decode_lanes(words, plain[side[0] : side[-1]], side[1:] - side[0], part[:, 0], highest).T.astype("<u4", order="C")
         for i, (count, crc) in enumerate(part[:, [0, 3]].tolist()):
-            ids = out[done : done + count]
-            ids[:] = grid[:count, i]
+            out[done : done + count] = ids = grid[i, :count]
             if zlib.crc32(ids) != crc:
                 raise ValueError(f"block {lo + i} does not match its checksum")
             done += count

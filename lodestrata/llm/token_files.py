@@ -32,7 +32,7 @@ def _coder(path: str, end_id: int | None, segment_ids: int):
         from pyspark import TaskContext
 
         part, seg, before = TaskContext.get().partitionId(), 0, 0
-        enc, held, names, lengths, total = encoder(path), [], [], [], 0
+        enc, held, names, lengths, total = encoder(path, 600_000), [], [], [], 0
 
         def flush():
             row = {"part": [part], "seg": [seg], "before": [before], "doc_ids": [names], "lengths": [lengths], "blob": [idcodec.encode(np.concatenate(held))]}

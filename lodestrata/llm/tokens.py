@@ -189,10 +189,11 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, max_pieces: int = 400_000) -> PieceEncoder:
     """One encoder for each vocabulary and Python worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
+    _ENCODERS[path].max_pieces = max_pieces
     return _ENCODERS[path]
 
 
